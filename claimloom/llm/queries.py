@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe
 from .mixing import op10_mixing
+from .secrets import op5_secrets
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op5_secrets": op5_secrets,
     "op10_mixing": op10_mixing,
 }
 
