@@ -1,4 +1,4 @@
-r"""Byte-level BPE encoding and decoding, pre-tokenised without regular expressions.
+r"""Byte-level BPE encoding and decoding, pre-tokenised without regular expressions over texts.
 
 Texts of a batch stand one after another as an array of code points, an end mark after each.
 A table gives every code point its class, every class is a transition function of a small
@@ -22,12 +22,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -35,6 +35,17 @@ from .common import fresh, table
 
 #: Unicode's White_Space.
 WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: Letters and digits that Unicode assigned after version 16, which the encoding library goes by.
+LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
 END, LETTER, DIGIT, OTHER, SPACE, BLANK, QUOTE, SHORT, E, RV, EL = range(11)
 # states: what the character before was part of
 BEGIN, IN_LETTERS, IN_DIGITS, IN_OTHER, AT_SPACE, AT_BLANK, AT_QUOTE, AT_RV, AT_EL, CLIPPED = range(10)
@@ -62,13 +73,14 @@ def _functions() -> np.ndarray:
 @lru_cache(1)
 def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class of each code point, element of each class, products of elements (first, then second), element applied to state. Element 0 is the identity."""
-    white = set(WHITE)
     kinds = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        category = unicodedata.category(chr(c))[0]
-        if category in "LN":
-            kinds[c] = LETTER if category == "L" else DIGIT
-    kinds[list(white)] = BLANK
+    points = "".join(map(chr, range(0x110000)))
+    for category, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT)):  # its tables are newer than unicodedata's
+        for run in regex.finditer(category, points):
+            kinds[run.start() : run.end()] = kind
+    for low, high in LATER:
+        kinds[low : high + 1] = OTHER
+    kinds[list(WHITE)] = BLANK
     kinds[0x20] = SPACE
     kinds[ord("'")] = QUOTE
     for letters, kind in (("stmd", SHORT), ("e", E), ("rv", RV), ("l", EL)):
