@@ -41,3 +41,16 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
         used.add(name.lower())
         out.append(name)
     return out
+
+
+#: Ids that may be broadcast at once: 16 MB of longs, some 50 MB as a hash table.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """df semi- or anti-joined to a written table of distinct ids: by broadcast if its count is small, else by a shuffle."""
+    (name,) = fresh(df.columns, "id_")
+    ids = ids.toDF(name)
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = ids.hint("broadcast")
+    return df.join(ids, df[key] == ids[name], how)

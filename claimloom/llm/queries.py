@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .mixing import op10_mixing
+from .neardup import op3_neardup
 from .secrets import op5_secrets
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op3_neardup": op3_neardup,
     "op5_secrets": op5_secrets,
     "op10_mixing": op10_mixing,
 }

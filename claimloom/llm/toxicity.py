@@ -50,9 +50,10 @@ class Settings:
     stem_bits: int = 16
     width: int = 8
     filters: int = 16  # of each filter width
-    epochs: int = 6
+    epochs: int = 2
     batch: int = 64
     rate: float = 0.01
+    calibrate: int = 25  # rows of each label from which a language gets a threshold of its own
     seed: int = 3
 
     @property
@@ -342,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     threshold = nowhere + best_threshold(logits, y)
     for k in range(len(LANGUAGES)):
         own = langs == k
-        if (y[own] == 1).sum() >= 5 and (y[own] == 0).sum() >= 5:
+        if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= s.calibrate:
             threshold[k] = best_threshold(logits[own], y[own])
     return Model(net, threshold, share)
 
