@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import topk
+from .ann import op8_ann
 from .bpe import op2_bpe
 from .mixing import op10_mixing
 from .neardup import op3_neardup
@@ -13,7 +15,9 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_neardup": op3_neardup,
     "op5_secrets": op5_secrets,
+    "op8_ann": op8_ann,
+    "op9_topk": topk.op9_topk,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_topk": topk.SQL}
