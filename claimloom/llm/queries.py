@@ -5,6 +5,8 @@ from __future__ import annotations
 from . import topk
 from .ann import op8_ann
 from .bpe import op2_bpe
+from .extract import op6_extract
+from .licenses import op7_licenses
 from .mixing import op10_mixing
 from .neardup import op3_neardup
 from .secrets import op5_secrets
@@ -15,6 +17,8 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_neardup": op3_neardup,
     "op5_secrets": op5_secrets,
+    "op6_extract": op6_extract,
+    "op7_licenses": op7_licenses,
     "op8_ann": op8_ann,
     "op9_topk": topk.op9_topk,
     "op10_mixing": op10_mixing,
