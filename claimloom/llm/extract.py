@@ -154,27 +154,32 @@ LABELLED = (
     ("<article><h1>Word</h1><p>No.</p><p>Et.</p></article>", "+++"),
     ("<div>Top</div><article><p><a href=/x>Linked words</a></p></article>", "-+"),
     ("<div>Log in</div>", "-"),
+    (f"<header class=masthead><h1>Paper</h1></header><div class=sidebar><p>{_LONG}</p><p>{_LONG}</p></div><div class=cookies><p>{_LONG}</p></div><footer><h3>About</h3><p>{_LONG}</p></footer>", "------"),
+    (f"<nav><p>{_LONG}</p></nav><aside><h2>More</h2><p>{_LONG}</p><p>{_LONG}</p></aside><form><h2>Sign up</h2><p>{_MIDDLE}</p></form><div class=comments><h3>Said</h3><p>{_LONG}</p></div>", "--------"),
     ("<div><a href=/1>Alpha beta</a></div><div>Log in</div><div><a href=/2>Gamma</a> and</div>", "---"),
 )
 
 
+#: What surrounds a block is asked before its counts, while that tells blocks apart.
+TIERS = (("in_article", "aside", "hint"), ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading"))
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
     """A tree: (share,) or (feature, cut, low, high)."""
-    if depth == 0 or len(set(y.tolist())) < 2:
-        return (float(y.mean()),)
-    best = None
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for cut in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= cut
-            a, b = y[low], y[~low]
-            impurity = len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())
-            if best is None or impurity < best[0] - 1e-12:
-                best = (impurity, f, float(cut))
-    if best is None:
-        return (float(y.mean()),)
-    low = x[:, best[1]] <= best[2]
-    return (best[1], best[2], grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    whole = len(y) * y.mean() * (1 - y.mean())
+    for tier in TIERS if depth and whole else ():
+        best = (whole - 1e-9, 0, 0.0)
+        for f in map(FEATURES.index, tier):
+            values = np.unique(x[:, f])
+            for cut in (values[1:] + values[:-1]) / 2:
+                low = x[:, f] <= cut
+                impurity = sum(len(part) * part.mean() * (1 - part.mean()) for part in (y[low], y[~low]))
+                if impurity < best[0] - 1e-12:
+                    best = (impurity, f, float(cut))
+        if best[0] < whole - 1e-9:
+            low = x[:, best[1]] <= best[2]
+            return (best[1], best[2], grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    return (float(y.mean()),)
 
 
 @lru_cache(1)
@@ -186,14 +191,7 @@ def tree() -> tuple:
             raise ValueError(f"{len(x)} blocks for {marks}: {html}")
         xs.append(x)
         ys += [mark == "+" for mark in marks]
-    x = np.concatenate(xs)
-    # what surrounds a block is tried before its counts: of equal splits the earlier feature wins
-    order = [FEATURES.index(f) for f in ("in_article", "hint", "aside", "links", "words", "words_before", "words_after", "links_before", "links_after", "heading")]
-
-    def named(node: tuple) -> tuple:
-        return node if len(node) == 1 else (order[node[0]], node[1], named(node[2]), named(node[3]))
-
-    return named(grow(x[:, order], np.array(ys, float)))
+    return grow(np.concatenate(xs), np.array(ys, float), depth=8)
 
 
 def chosen(x: np.ndarray, node: tuple) -> np.ndarray:
