@@ -73,7 +73,7 @@ def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int]) -> lis
             low = mid
         else:
             high = mid
-    got = at(high)
+    got = at(high * (1 + 1e-9))  # clear of ties, which the heap decides
     heap = [(-v / (2 * g + 1), i) for i, (v, g, c) in enumerate(zip(votes, got, caps)) if v > 0 and g < c]
     heapq.heapify(heap)
     for _ in range(seats - sum(got)):

@@ -9,6 +9,7 @@ from .extract import op6_extract
 from .licenses import op7_licenses
 from .mixing import op10_mixing
 from .neardup import op3_neardup
+from .pseudo import op4_pseudo_likelihood
 from .secrets import op5_secrets
 from .toxicity import op1_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_neardup": op3_neardup,
+    "op4_pseudo_likelihood": op4_pseudo_likelihood,
     "op5_secrets": op5_secrets,
     "op6_extract": op6_extract,
     "op7_licenses": op7_licenses,
