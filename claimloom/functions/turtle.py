@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -169,4 +170,4 @@ class ParseTurtle:
 
 def triples(rows, text: str, *keep: str):
     """rows' columns keep with the triples of their Turtle."""
-    return rows.lateralJoin(ParseTurtle(rows[text].outer())).select(*keep, "s", "p", "o", "o_kind", "o_datatype", "error")
+    return rows.lateralJoin(ParseTurtle(F.col(text).outer())).select(*keep, "s", "p", "o", "o_kind", "o_datatype", "error")
