@@ -9,10 +9,12 @@
    the longest common prefixes: the depth adapts to how dense the region is. Each node is a
    candidate with its ``NEAR`` neighbours, if the signatures agree in enough places; of a batch's
    candidates the spanning forest of best agreement is kept. Sets decide what is a link.
-4. The exact rest: where a region still holds nodes of several components, all its pairs across
-   components whose signatures agree in enough places are confirmed too, each in the first
-   tree that shows it. Large regions are dealt out as pairs of blocks, so that no task holds a
-   region of unbounded size, and no pairs are emitted but those to be confirmed.
+4. The exact rest: regions that still hold several components are open. A node's home is the
+   largest open region that its regions reach, so that a family's regions in all trees come to
+   one home; there, full sets are compared across components within the task, which gives out
+   no more links than join components. What pairs an open region holds across homes are confirmed
+   singly, each in the first tree that shows it. Large groups are dealt out as pairs of
+   blocks, so that no task holds a group of unbounded size.
 
 At similarity 0.75 a pair shares no region of 32 trees of depth 4 with probability 5e-6, and
 falls below the agreement asked of 128 values with about as much.
@@ -167,50 +169,115 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, lo, hi): every pair of one group and two components whose signatures agree, in the first tree that shows it."""
-    held: list[tuple] = []
-
-    def groups() -> Iterator[tuple]:
-        for batch in batches:
-            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            rows = (*_rows(batch), column("component"), column("block"), column("lo"), column("hi"))
-            cut = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[7][1:] != rows[7][:-1]) | (rows[8][1:] != rows[8][:-1])) + 1
-            bounds = [0, *cut.tolist(), len(rows[0])]
-            for low, high in zip(bounds[:-1], bounds[1:]):
-                part = tuple(x[low:high] for x in rows)
-                if held and any(held[-1][k][0] != part[k][0] for k in (0, 7, 8)):
-                    yield tuple(np.concatenate(x) for x in zip(*held))
-                    held.clear()
-                held.append(part)
-        if held:
-            yield tuple(np.concatenate(x) for x in zip(*held))
-            held.clear()
-
-    out_a, out_b, size = [], [], 0
-    for _, tree, node, n, sig, component, block, lo, hi in groups():
-        rest = np.arange(len(node))
+    """From rows sorted by (key, lo, hi): every pair of one group, two components and two homes whose signatures agree, in the first tree that shows it."""
+    for group in runs(batches, "key"):
+        home = group.column("home").to_numpy()
+        if (home == home[0]).all():
+            continue
+        tree, node, n, component, block, lo, hi = (group.column(c).to_numpy() for c in ("tree", "node", "n", "component", "block", "lo", "hi"))
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        out_a, out_b = [], []
         for x in range(len(node) - 1):
-            j = rest[x + 1 :]
-            j = j[(component[j] != component[x])]
+            j = np.arange(x + 1, len(node))
+            j = j[(component[j] != component[x]) & (home[j] != home[x])]
             if lo[0] != hi[0]:
                 j = j[block[j] != block[x]]
-            if not len(j):
-                continue
-            i = np.full(len(j), x)
-            j = j[_alike(n, sig, i, j) >= AGREE]
-            if not len(j):
-                continue
-            for t in range(int(tree[0])):
+            if len(j):
+                j = j[_alike(n, sig, np.full(len(j), x), j) >= AGREE]
+            for t in range(int(tree[0])) if len(j) else ():
                 first = ORDERS[t, :DEPTH]
                 j = j[(sig[j][:, first] != sig[x, first]).any(1)]
-            out_a.append(np.full(len(j), node[x]))
-            out_b.append(node[j])
-            size += len(j)
-        if size > 50_000:
+            if len(j):
+                out_a.append(np.full(len(j), node[x]))
+                out_b.append(node[j])
+        if out_a:
             yield _pairs(np.concatenate(out_a), np.concatenate(out_b))
-            out_a, out_b, size = [], [], 0
-    if size:
-        yield _pairs(np.concatenate(out_a), np.concatenate(out_b))
+
+
+def home_regions(open_: DataFrame) -> DataFrame:
+    """(node, home): the largest region that a node's regions reach through their nodes. A family's regions in the several trees so come to one home."""
+    size = F.struct("m", "key")
+    first = open_.groupBy("node").agg(F.max(size).alias("h"))
+    second = open_.select("key", "node").join(first, "node").groupBy("key").agg(F.max("h").alias("h"))
+    return open_.select("key", "node").join(second, "key").groupBy("node").agg(F.max("h")["key"].alias("home"))
+
+
+def deal(rows: DataFrame, key: str, size: str, width: int) -> DataFrame:
+    """rows grouped by key, a group of more than BLOCK rows as pairs (lo, hi) of blocks, sorted."""
+    parts = F.ceil(F.col(size) / BLOCK).cast("int")
+    dealt = (
+        rows.withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .withColumn("lo", F.least("block", "other"))
+        .withColumn("hi", F.greatest("block", "other"))
+    )
+    return dealt.repartition(width, key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of each (key, lo, hi), from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        names = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (key, "lo", "hi")]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if low == high:
+                continue
+            now = tuple(x[low] for x in names)
+            if held and now != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def within_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows with full sets sorted by (home, lo, hi): links between components, found exactly; no more than join them."""
+    for group in runs(batches, "home"):
+        if group.num_rows < 2:
+            continue
+        node, component, block, lo, hi = (group.column(c).to_numpy() for c in ("node", "component", "block", "lo", "hi"))
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        lists = group.column("shingles").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        n = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten().to_numpy()
+        _, flat = np.unique(flat, return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+        names, label = np.unique(component, return_inverse=True)
+        top = np.arange(len(names))  # the component that each now belongs to
+        out_a, out_b = [], []
+        for x in range(len(node) - 1):
+            j = np.arange(x + 1, len(node))
+            j = j[top[label[j]] != top[label[x]]]
+            if lo[0] != hi[0]:
+                j = j[block[j] != block[x]]
+            if len(j):
+                j = j[_alike(n, sig, np.full(len(j), x), j) >= AGREE]
+            if not len(j):
+                continue
+            own = flat[ends[x] : ends[x + 1]]
+            mark[own] = True
+            for low in range(0, len(j), 512):
+                part = j[low : low + 512]
+                part = part[top[label[part]] != top[label[x]]]
+                if not len(part):
+                    continue
+                rows = np.concatenate([flat[ends[k] : ends[k + 1]] for k in part])
+                both = np.add.reduceat(mark[rows].astype(np.int64), np.concatenate([[0], np.cumsum(n[part])[:-1]]))
+                for k in part[100 * both >= 75 * (n[x] + n[part] - both)]:
+                    if top[label[k]] != top[label[x]]:
+                        top[top == top[label[k]]] = top[label[x]]
+                        out_a.append(node[x])
+                        out_b.append(node[k])
+            mark[own] = False
+        if out_a:
+            yield _pairs(np.array(out_a), np.array(out_b))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -245,19 +312,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # the exact rest: regions that still hold several components
     labelled = regions.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = (
-        labelled.join(open_, "key", "left_semi")
-        .withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .withColumn("lo", F.least("block", "other"))
-        .withColumn("hi", F.greatest("block", "other"))
-    )
-    rest = dealt.repartition(width, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more = stash(rest.mapInArrow(across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        extra = stash(confirm(docs, more), "links")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    open_ = stash(labelled.join(mixed, "key", "left_semi"), "open")
+    homes = stash(home_regions(open_), "homes")
+    crowded = homes.join(homes.groupBy("home").agg(F.count("*").alias("g")).where("g > 1"), "home")
+    at_home = crowded.join(open_.select("node", "sig", "component").dropDuplicates(["node"]), "node")
+    at_home = at_home.join(full_sets(docs, stash(crowded.select("node"), "ids")), "node")
+    links_home = stash(deal(at_home, "home", "g", width).mapInArrow(within_homes, "a long, b long"), "links")
+    apart = deal(open_.join(homes, "node"), "key", "m", width).mapInArrow(across, "a long, b long").distinct()
+    more = stash(apart.join(pairs, ["a", "b"], "left_anti"), "more")
+    extra = links_home if more.isEmpty() else links_home.union(confirm(docs, more))
+    extra = stash(extra, "links")
+    if not extra.isEmpty():
         found = stash(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)), "found")
 
     of_set = nodes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("c"))
