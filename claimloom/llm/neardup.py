@@ -340,3 +340,19 @@ def neardup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest id."""
     gone = stash(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     return by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: The same in SQL, by every pair of documents that shares a shingle; for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+h AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS c FROM h a JOIN h b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (total - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, seen) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.seen FROM r JOIN e ON r.node = e.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept FROM s JOIN r ON node = doc_id GROUP BY doc_id, s
+"""

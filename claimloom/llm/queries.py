@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from . import topk
+from . import neardup, secrets, topk
 from .ann import op8_ann
 from .bpe import op2_bpe
 from .extract import op6_extract
 from .licenses import op7_licenses
 from .mixing import op10_mixing
-from .neardup import op3_neardup
 from .pseudo import op4_pseudo_likelihood
-from .secrets import op5_secrets
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
-    "op3_neardup": op3_neardup,
+    "op3_neardup": neardup.op3_neardup,
     "op4_pseudo_likelihood": op4_pseudo_likelihood,
-    "op5_secrets": op5_secrets,
+    "op5_secrets": secrets.op5_secrets,
     "op6_extract": op6_extract,
     "op7_licenses": op7_licenses,
     "op8_ann": op8_ann,
@@ -26,4 +24,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_topk": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_neardup": neardup.SQL, "op5_secrets": secrets.SQL, "op9_topk": topk.SQL}

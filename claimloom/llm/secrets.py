@@ -135,3 +135,29 @@ def secrets_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
+
+
+def _sql() -> str:
+    """The same in SQL: places by cutting the text, links by comparing every part with every base span of its document."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    kinds = "\nUNION ALL\n".join(
+        f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, '{role}' AS role, string_split_regex(t, {quoted(pattern)}) AS g, regexp_extract_all(t, {quoted(pattern)}) AS m, regexp_extract_all(t, {quoted(pattern)}, {group}) AS v, {least} AS least FROM d"""
+        for rank, (kind, pattern, group, least, role) in enumerate(KINDS)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({kinds}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0),
+p AS (SELECT doc_id, rank, kind, role, len(m[i]) AS size, len(v[i]) >= least AS ok,
+  list_sum(list_transform(g[1:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)::BIGINT AS s FROM i),
+q AS (SELECT doc_id, rank, kind, role, s, s + size AS e FROM p WHERE ok),
+b AS (SELECT * FROM q WHERE rank < {BASE}),
+w AS (SELECT * FROM q WHERE rank >= {BASE} AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = q.doc_id AND b.s < q.e AND q.s < b.e)
+  AND EXISTS (SELECT 1 FROM b WHERE b.doc_id = q.doc_id AND b.role <> q.role AND b.s - q.e <= 200 AND q.s - b.e <= 200)),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM w),
+o AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, count(*) FILTER (rank >= {BASE}) AS n3,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < {BASE}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM a GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n3, 0) AS n_linked
+FROM d LEFT JOIN o USING (doc_id)"""
+
+
+SQL = _sql()
