@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import non_blank
 from .temporal import overlaps
 
+#: What may become of a claim.
 DISPOSITIONS = (
-    "accepted", "ontology_gap", "constraint_violation", "conflict", "unresolved_entity", "unresolved_time", "insufficient_evidence", "out_of_scope", "duplicate", "rejected",
+    "accepted", "ontology_gap", "constraint_violation", "conflict", "unresolved_entity", "unresolved_time", "out_of_scope", "low_confidence", "rejected", "superseded",
 )
 IRI = r"^[A-Za-z][A-Za-z0-9+.-]*:[^\x00-\x20<>\"{}|^`\\]*$"
 #: Ontologies are broadcast up to so many terms.
@@ -17,10 +18,11 @@ FEW_TERMS = 200_000
 
 
 def mapping_error(disposition: Column, assertions: Column, evidence: Column) -> Column:
-    """First broken rule: evidence is there; exactly accepted mappings hold assertions; IRIs are IRIs."""
+    """First broken rule: the disposition is known; evidence is there; exactly accepted mappings hold assertions; IRIs are IRIs."""
     iri = lambda c: F.coalesce(c.rlike(IRI), F.lit(False))
     ok = F.forall(assertions, lambda a: iri(a["subject"]) & iri(a["predicate"]) & ((a["object_kind"] == "literal") | (a["object_kind"] == "iri") & iri(a["object"])))
     rules = [
+        (~F.coalesce(disposition.isin(*DISPOSITIONS), F.lit(False)), "disposition"),
         (F.coalesce(F.size(evidence), F.lit(0)) == 0, "evidence"),
         ((disposition == "accepted") != (F.size(assertions) > 0), "assertions"),
         (~F.coalesce(ok, F.lit(True)), "iri"),
