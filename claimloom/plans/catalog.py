@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import canonical_value
 from ..functions.text import non_blank, percent_encoded, plain_text, sha_identity
-from ..operators import analytics, canonical, claims, history, ontology, quads, temporal
+from ..operators import analytics, canonical, claims, decisions, extraction, history, ontology, quads, records, resolution, temporal
 from ..sources import artefacts, corpus, reasoning
 
 QUERIES: dict = {}
@@ -554,3 +554,92 @@ def text_guard(spark, sf_dir):
 )
 def nquads_lines(spark, sf_dir):
     return quads.nquads(_order_quads(spark, sf_dir).where("g = 'urn:g:orders'"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'json' WHEN 2 THEN 'k' END AS error FROM events")
+def record_shapes(spark, sf_dir):
+    """Event properties as closed records: with a foreign field, cut off, with another type, or as they are."""
+    k, text = F.col("event_id") % 4, F.col("props")
+    spoilt = F.when(k == 0, F.regexp_replace(text, r"\}$", ',"x":1}')).when(k == 1, F.lit("{")).when(k == 2, F.lit('{"k":true}')).otherwise(text)
+    return _t(spark, sf_dir, "events").select("event_id", records.shape_error("struct<k:int not null>")(spoilt).alias("error"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'prefix' WHEN 1 THEN 'confidence' WHEN 2 THEN 'content_id' WHEN 3 THEN 'mentions' END AS diagnostic FROM documents WHERE strpos(text, '.') > 0"""
+)
+def extraction_checks(spark, sf_dir):
+    """Extractions that quote a document's first sentence, each spoilt by doc_id % 5; 4 is left sound."""
+    i = F.col("doc_id")
+    k, name = i % 5, i.cast("string")
+    d = _t(spark, sf_dir, "documents").where(F.position(F.lit("."), F.col("text")) > 0).withColumn("a", _sentence_anchor()).withColumn("sha", F.sha2("text", 256))
+    anchor = F.struct(
+        F.col("sha").alias("canonical_text_sha256"), F.lit("1").alias("canonicaliser_version"), F.when(k == 2, "x").otherwise(name).alias("content_id"), F.col("a.end_line").alias("end_line"), F.col("a.end_offset").alias("end_offset"),
+        F.when(k == 0, "x").otherwise(F.col("a.prefix")).alias("prefix"), F.col("a.selected_text").alias("selected_text"), F.col("sha").alias("source_json_sha256"), F.lit("u").alias("source_url"),
+        F.col("a.start_line").alias("start_line"), F.col("a.start_offset").alias("start_offset"), F.col("a.suffix").alias("suffix"),
+    )
+    claim = F.struct(F.lit("a").alias("assertion"), F.when(k == 1, 2.0).otherwise(0.5).alias("confidence"), F.array(anchor).alias("evidence"), F.lit("r").alias("rationale"))
+    whole = F.to_json(F.struct(F.array(claim).alias("candidate_claims"), F.array().cast("array<string>").alias("mentions"), F.array().cast("array<string>").alias("temporal_expressions")))
+    output = F.when(k == 3, F.replace(whole, F.lit('"mentions"'), F.lit('"mention"'))).otherwise(whole)
+    sources = d.select(name.alias("source_version"), F.col("text").alias("canonical_text"), F.lit("1").alias("canonicaliser_version"), F.col("sha").alias("source_json_sha256"), name.alias("content_id"), F.lit("u").alias("source_url"), F.col("sha").alias("canonical_text_sha256"))
+    checked = extraction.check_extractions(d.select(name.alias("source_version"), output.alias("output")), sources)
+    return checked.select(F.col("source_version").cast("long").alias("doc_id"), F.when(F.col("diagnostic") == "mention", "mentions").otherwise(F.col("diagnostic")).alias("diagnostic"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'calendar' WHEN o_custkey % 2 = 0 THEN 'recorded' ELSE 'none' END AS methodology,
+  CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_custkey % 2 = 0 THEN '2000-01-01' END AS lower_bound FROM orders"""
+)
+def temporal_hybrid(spark, sf_dir):
+    """Dates by the calendar, other words by what was recorded for each customer's request."""
+    o = _t(spark, sf_dir, "orders")
+    payload = F.to_json(F.struct("o_custkey"))
+    requests = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, _iso("o_orderdate")).otherwise("when it was made").alias("expression"), F.lit(None).cast("string").alias("reference"), payload.alias("payload"))
+    answer = '{"constraint":{"lower_bound":"2000-01-01","lower_inclusive":true,"upper_bound":null,"upper_inclusive":true}}'
+    recorded = o.where("o_custkey % 2 = 0").select(F.lit("temporal-resolution").alias("stage"), payload.alias("structured_input"), F.lit(answer).alias("structured_output"), F.lit(1).alias("sequence")).distinct()
+    return resolution.resolve_times(requests, recorded).select("o_orderkey", "methodology", "constraint.lower_bound")
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS claim_id, CASE WHEN quality = 0 THEN 'out_of_scope' WHEN doc_id % 3 = 0 THEN 'ontology_gap' WHEN doc_id % 2 = 0 AND toxic = 1 THEN 'conflict' ELSE 'accepted' END AS disposition,
+  CASE WHEN quality = 1 AND doc_id % 3 <> 0 AND doc_id % 2 = 0 AND toxic = 1 THEN 'Conflicts with accepted Claim ''old' || doc_id || ''' on ''urn:d:' || doc_id || ''' and ''urn:toxic''.' ELSE 'c' END AS conflict FROM labels"""
+)
+def claim_decisions(spark, sf_dir):
+    """Labels as decided claims: some use a predicate that the ontology lacks, some contradict an accepted claim."""
+    i = F.col("doc_id")
+    subject = F.concat(F.lit("urn:d:"), i.cast("string"))
+    one = F.struct(F.col("toxic").cast("string").alias("object"), F.lit("literal").alias("object_kind"), F.when(i % 3 == 0, "urn:new").otherwise("urn:toxic").alias("predicate"), subject.alias("subject"))
+    held = F.when(F.col("quality") == 1, F.array(one)).otherwise(F.slice(F.array(one), 1, 0))
+    output = F.to_json(F.struct(F.lit("a").alias("acceptance"), F.lit("c").alias("conflict"), F.when(F.col("quality") == 1, "accepted").otherwise("out_of_scope").alias("disposition"), F.lit("m").alias("mapping"), F.lit("s").alias("scope"), held.alias("semantic_assertions"), F.lit("v").alias("validation")))
+    labels, never = _t(spark, sf_dir, "labels"), F.lit(None).cast(temporal.DDL)
+    accepted = labels.where("doc_id % 2 = 0").select(F.concat(F.lit("old"), i.cast("string")).alias("claim_id"), subject.alias("subject"), F.lit("urn:toxic").alias("predicate"), F.lit("0").alias("object"), F.lit("literal").alias("object_kind"), never.alias("time"))
+    known = spark.createDataFrame([("urn:toxic", "urn:a", "urn:Property")], "s string, p string, o string")
+    return decisions.decide(labels.select(i.cast("string").alias("claim_id"), never.alias("time"), output.alias("output")), accepted, known, []).select("claim_id", "disposition", "conflict")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 1 THEN 'existing' END AS error FROM nation")
+def entity_outcomes(spark, sf_dir):
+    """Recorded outcomes that name the nation itself, or a name that is none of the candidates."""
+    n = _t(spark, sf_dir, "nation")
+    payload = F.to_json(F.struct("n_nationkey"))
+    requests = n.select("n_nationkey", F.col("n_name").alias("mention"), F.array("n_name").alias("candidates"), payload.alias("payload"))
+    answer = F.to_json(F.struct(F.lit("existing").alias("kind"), F.when(F.col("n_nationkey") % 3 == 1, "elsewhere").otherwise(F.col("n_name")).alias("entity_id")))
+    recorded = n.where("n_nationkey % 3 <> 2").select(F.lit("entity-resolution").alias("stage"), payload.alias("structured_input"), answer.alias("structured_output"), F.lit(1).alias("sequence"))
+    return resolution.resolve_entities(requests, recorded).select("n_nationkey", "error")
+
+
+@query("SELECT 'urn:' || event_type AS term FROM events WHERE event_type <> 'view' GROUP BY 1")
+def ontology_terms_absent(spark, sf_dir):
+    """Event types that a vendored ontology's text does not hold."""
+    from ..functions.turtle import triples
+
+    text = spark.createDataFrame([("o", "<urn:a> <urn:view> <urn:b> .")], "source string, ttl string")
+    terms = _t(spark, sf_dir, "events").select(F.lit("o").alias("source"), F.concat(F.lit("urn:"), "event_type").alias("term")).distinct()
+    return ontology.absent_terms(terms, triples(text, "ttl", "source")).select("term")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 <> 2 THEN NULL WHEN turn = t0 THEN 'missing' END AS error FROM (SELECT DISTINCT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS t0 FROM conversations) WHERE turn % 3 = 2")
+def reversal_errors(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    bad = history.reversal_error(t.where("kind = 'reversal'"), t)
+    part = F.split("decision_id", ":")
+    return bad.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "error")
