@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, table
+from .common import fresh, small_batches, table
 
 #: Unicode's White_Space.
 WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -51,7 +51,7 @@ END, LETTER, DIGIT, OTHER, SPACE, BLANK, QUOTE, SHORT, E, RV, EL = range(11)
 BEGIN, IN_LETTERS, IN_DIGITS, IN_OTHER, AT_SPACE, AT_BLANK, AT_QUOTE, AT_RV, AT_EL, CLIPPED = range(10)
 STATES = 10
 #: Characters worked on at once, and pieces that one generation of the cache holds.
-CHUNK, CACHE = 1_000_000, 200_000
+CHUNK, CACHE = 500_000, 120_000
 
 
 def _functions() -> np.ndarray:
@@ -282,6 +282,7 @@ ADDED = {
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", add: tuple[str, ...] = ("n_tokens", "ids", "ends"), keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) with what add names of: n_tokens, ids, ends (of each id's bytes), ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes that the ids give when decoded)."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     keep = docs.columns if keep is None else keep
     kept = docs.select(*keep)
@@ -291,8 +292,8 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", add: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held)
         for whole in batches:
-            for low in range(0, whole.num_rows, 1024):
-                batch = whole.slice(low, 1024)
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
                 texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
                 ids = codec.encode_batch(texts)
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
@@ -317,6 +318,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", add: tuple[str,
 
 def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """tokens with decoded, the bytes of its ids; null for null. An id out of the table fails."""
+    small_batches(tokens.sparkSession)
     held = tokens.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     (name,) = fresh(tokens.columns, "decoded")
     schema = T.StructType([*tokens.schema.fields, T.StructField(name, T.BinaryType())])

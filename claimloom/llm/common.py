@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds what a Python worker gets at once to some megabytes of text, whatever the rows' lengths; sizes that the session has set smaller stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = str(spark.conf.get(name)).rstrip("b")
+        if not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, table
+from .common import fresh, small_batches, table
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SILENT = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas".split())
@@ -213,6 +213,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """pages (or its columns keep) with text and n_chars."""
+    small_batches(pages.sparkSession)
     keep = pages.columns if keep is None else keep
     names = fresh(keep, "text", "n_chars")
     schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.LongType())])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, table
+from .common import fresh, small_batches, table
 
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Label, template, key phrases that must stand in it.
@@ -151,6 +151,7 @@ ADDED = (
 
 def scan_licenses(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) with the columns of ADDED."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     index = docs.sparkSession.sparkContext.broadcast(Index(*frequencies(docs, text)))
     names = fresh(keep, *(n for n, _ in ADDED))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_ids, stash, table
+from .common import by_ids, small_batches, stash, table
 from .components import components
 from .shingles import Shingler, signatures
 
@@ -283,6 +283,7 @@ def within_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of docs (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = stash(sketch(docs), "sketch")
     sets = sketched.where("doc_id is not null and n_shingles > 0")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, table
+from .common import fresh, small_batches, table
 
 OFFSETS = (-2, -1, 1, 2)
 #: Rows of weights in a piece that travels on its own.
@@ -225,6 +225,7 @@ def log_likelihoods(net: Network, lexicon: Lexicon, buckets: np.ndarray, chunk:
 
 def score(docs: DataFrame, text: str = "text", s: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) with n_tokens, log_likelihood (the sum) and mean_log_likelihood."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     lexicon = Lexicon(count(docs, text, s), s)
     held = docs.sparkSession.sparkContext.broadcast((train(docs, text, s, lexicon), lexicon))

@@ -7,7 +7,7 @@ import xxhash
 
 SIZE = 5  # words of a shingle
 MUL = np.uint64(0x9E3779B97F4A7C15)
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 
 class Shingler:

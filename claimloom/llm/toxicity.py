@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, small_batches, table
 
 #: Frequent function words that tell the languages apart.
 FUNCTION_WORDS = {
@@ -66,7 +66,7 @@ class Settings:
 class Words:
     """Tokens to slots; a slot has the token's four rows and its language's vote. Starts anew when full."""
 
-    def __init__(self, settings: Settings, room: int = 200_000):
+    def __init__(self, settings: Settings, room: int = 120_000):
         self.s, self.room, self.slot = settings, room, {}
         self.rows = np.full((room + 1, TABLES), settings.offsets[-1], np.int32)
         self.vote = np.full(room + 1, len(LANGUAGES), np.uint8)
@@ -302,6 +302,7 @@ def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Trains on labelled rows that are not held out: at most s.rows of each label, by hash of the id, of at most s.longest words."""
+    small_batches(docs.sparkSession)
     use = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     order = F.xxhash64("doc_id")
     sample = use.where("y = 1").orderBy(order, "doc_id").limit(s.rows).unionByName(use.where("y = 0").orderBy(order, "doc_id").limit(s.rows))
@@ -348,28 +349,23 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     return Model(net, threshold, share)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score, predicted and told_lang; names that clash get a leading underscore."""
+    small_batches(docs.sparkSession)
     n_score, n_predicted, n_lang = fresh(docs.columns, "score", "predicted", "told_lang")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        key = id(held)
-        if model.net is not None and key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(model)
+        scorer = Scorer(model) if model.net is not None else None  # the task's own: a worker that goes on to other work keeps nothing of it
         for whole in batches:
-            for low in range(0, whole.num_rows, 1024):
-                batch = whole.slice(low, 1024)
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
                 texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                if model.net is None:
+                if scorer is None:
                     scores, langs = np.full(len(texts), model.share), np.full(len(texts), len(LANGUAGES))
                 else:
-                    scores, langs = _SCORERS[key].scores(texts)
+                    scores, langs = scorer.scores(texts)
                 names = [*LANGUAGES, None]
                 added = [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array([names[i] for i in langs], pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, n_score, n_predicted, n_lang])
