@@ -119,7 +119,7 @@ class Network:
         rng = np.random.default_rng(s.seed)
         n = s.offsets[-1] + 1
         self.s = s
-        self.e = rng.normal(0, 0.05, (n, s.width)).astype(np.float32)
+        self.e = rng.standard_normal((n, s.width), np.float32) * np.float32(0.05)
         self.e[-1] = 0
         self.w = rng.normal(0, 0.3 / np.sqrt(s.width), (6, s.width, s.filters)).astype(np.float32)  # width 1; 2, 2; 3, 3, 3
         self.b = np.zeros(3 * s.filters, np.float32)
@@ -323,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
     got = joined.mapInArrow(rows_of, "d long, y int, lang int, rows binary").toArrow()
     d, y, langs = (got.column(c).to_numpy() for c in ("d", "y", "lang"))
-    data = [np.frombuffer(x, np.int32).reshape(-1, TABLES) for x in got.column("rows").to_pylist()]
+    data = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, TABLES) for x in got.column("rows")]  # views of what was received, no copies
     order = np.lexsort([[zlib.crc32(x.tobytes()) for x in data], d]) if len(d) else np.zeros(0, int)
     order = order[np.concatenate([[True], d[order][1:] != d[order][:-1]])] if len(order) else order  # repeated rows once
     d, y, langs, data = d[order], y[order], langs[order], [data[i] for i in order]
@@ -340,6 +340,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     check = tune if tune.any() else ~tune
     pad = np.zeros((PAD_WORDS + 1, s.width), np.float32)
     logits = np.array([net.logits(net.conv(np.concatenate([net.e[x].sum(1), pad])).max(0)) for x, t in zip(data, check) if t], np.float64)
+    del data, got  # the driver keeps the network alone
+    pa.default_memory_pool().release_unused()
     y, langs = y[check], langs[check]
     threshold = nowhere + best_threshold(logits, y)
     for k in range(len(LANGUAGES)):
