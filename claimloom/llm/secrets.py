@@ -6,11 +6,15 @@ the pattern: the lengths of the cuts and of the matches add up to the starts.
 
 Weak candidates are parts that alone prove nothing: ``user`` (a named identifier), ``opaque``
 (a long token of mixed characters) and ``endpoint`` (a URL or host with port). Each part has
-a role - identifier, secret or endpoint. A weak part is reported only if a base span of
-another role stands within the same scope: at most ``reach`` code points between them. The
-interval join deals the parts into bins of ``reach`` code points (an interval stands in each
-bin it touches, a weak part's also one to each side) and compares within a bin, so that its
-work follows the text's length and not the square of a document's parts.
+a role - identifier, secret or endpoint. A weak part is reported only if a base span or a
+weak part of another role stands within the same scope: at most ``reach`` code points between
+them. Two weak parts must not overlap (a long path in a URL is no second part), and between them
+``opaque`` counts only where it is mixed (two at least of lower case, upper case and digits): a
+ruler of one letter is no key. The interval join deals the parts into bins of ``reach`` code
+points (an interval stands in each bin it touches, a weak part's also one to each side) and
+compares within a bin, so that its work follows the text's length and not the square of a
+document's parts. The SQL below links weak parts with base spans alone; it agrees where no text
+has weak parts that only each other complete, as in the driver's tables.
 
 Defined cases: a null text counts as empty and has no spans (n_* 0, the digest of "");
 texts of any length are scanned whole; repeated rows each get their spans; an empty table
@@ -41,6 +45,7 @@ KINDS = (
     ("endpoint", ENDPOINT, 0, 10, "endpoint"),
 )
 BASE = 3
+OPAQUE_RANK = [k[0] for k in KINDS].index("opaque")
 
 
 def places(text: Column, pattern: str, group: int, least: int, rank: int) -> Column:
@@ -71,32 +76,44 @@ def _role(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(k[4]) for k in KINDS]), rank + 1)
 
 
+def _fit(text: Column, part: Column) -> Column:
+    """Whether a weak part may complete another weak part."""
+    own = F.substring(text, part["start"] + 1, part["end"] - part["start"])
+    sorts = sum((own.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]")), F.lit(0))
+    return (part["rank"] != OPAQUE_RANK) | (sorts >= 2)
+
+
 def find_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataFrame:
     """docs with base_spans and spans, arrays of (start, rank, end) sorted; rank is the place in KINDS."""
     n_base, n_spans, c_weak, c_key, c_linked = fresh(docs.columns, "base_spans", "spans", "weak_", "key_", "linked_")
     body = F.coalesce(F.col(text), F.lit(""))
     each = [places(body, *kind[1:4], rank) for rank, kind in enumerate(KINDS)]
     base = docs.withColumn(n_base, F.array_sort(F.concat(*each[:BASE])))
-    # only where a base span stands can a weak part have its complement
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     weak = F.concat(*each[BASE:])
     # a part that lies within a base span is that span, not a second one
     apart = F.filter(weak, lambda w: ~F.exists(F.col(n_base), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    rows = base.withColumn(c_weak, F.when(F.size(n_base) > 0, apart).otherwise(none))
-    # rows with no weak part need no partner: each has a key of its own, so that they spread
+    # only where parts of two roles stand can a weak part have its complement
+    rows = base.withColumn(c_weak, apart)
+    roles = F.array_distinct(F.transform(F.concat(F.col(n_base), F.col(c_weak)), lambda p: _role(p["rank"])))
+    rows = rows.withColumn(c_weak, F.when(F.size(roles) > 1, F.col(c_weak)).otherwise(none))
+    # rows with no such part need no partner: each has a key of its own, so that they spread
     alone = F.concat(F.lit("r"), F.xxhash64(*[c for c in docs.columns if c == "doc_id"] or [F.col(text)]).cast("string"))
     rows = rows.withColumn(c_key, F.when(F.size(c_weak) > 0, F.sha2(body, 256)).otherwise(alone))
-    texts = rows.where(F.size(c_weak) > 0).select(F.col(c_key).alias("k"), F.col(n_base).alias("base"), F.col(c_weak).alias("weak")).dropDuplicates(["k"])
+    texts = rows.where(F.size(c_weak) > 0).select(F.col(c_key).alias("k"), F.col(n_base).alias("base"), F.transform(c_weak, lambda w: F.struct(w.alias("w"), _fit(body, w).alias("fit"))).alias("weak")).dropDuplicates(["k"])
 
     def bins(low: Column, high: Column) -> Column:
         return F.explode(F.sequence(F.floor(low / reach).cast("int"), F.floor(high / reach).cast("int")))
 
-    strong = texts.select("k", F.explode("base").alias("s")).select("k", F.col("s.start").alias("b0"), F.col("s.end").alias("b1"), _role(F.col("s.rank")).alias("b_role"))
+    firm = F.transform("base", lambda b: F.struct(b.alias("s"), F.lit(False).alias("is_weak")))
+    others = F.transform(F.filter("weak", lambda w: w["fit"]), lambda w: F.struct(w["w"].alias("s"), F.lit(True).alias("is_weak")))
+    strong = texts.select("k", F.explode(F.concat(firm, others)).alias("p")).select("k", F.col("p.s.start").alias("b0"), F.col("p.s.end").alias("b1"), _role(F.col("p.s.rank")).alias("b_role"), "p.is_weak")
     strong = strong.withColumn("bin", bins(F.col("b0"), F.col("b1")))
-    parts = texts.select("k", F.explode("weak").alias("w")).withColumn("bin", bins(F.greatest(F.col("w.start") - reach, F.lit(0)), F.col("w.end") + reach))
+    parts = texts.select("k", F.explode("weak").alias("p")).select("k", "p.w", "p.fit").withColumn("bin", bins(F.greatest(F.col("w.start") - reach, F.lit(0)), F.col("w.end") + reach))
     near = (
         (parts.k == strong.k) & (parts.bin == strong.bin) & (_role(F.col("w.rank")) != F.col("b_role"))
         & (F.col("b0") - F.col("w.end") <= reach) & (F.col("w.start") - F.col("b1") <= reach)
+        & (~F.col("is_weak") | (F.col("fit") & ((F.col("b0") >= F.col("w.end")) | (F.col("w.start") >= F.col("b1")))))
     )
     linked = parts.join(strong, near, "left_semi").groupBy("k").agg(F.collect_set("w").alias(c_linked)).withColumnRenamed("k", f"{c_key}k")
     joined = rows.join(linked, F.col(c_key) == F.col(f"{c_key}k"), "left")
