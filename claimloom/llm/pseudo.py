@@ -7,10 +7,10 @@ mass) and P(token | class). P(class | window) is a network trained in numpy: the
 the left and the two to the right each have a row of their position's table, the sum goes
 through tanh, a linear layer and softmax. The masked token itself is never an input.
 
-Training is spread over the corpus: in each of ``Settings.rounds`` rounds every task runs gradient
-descent from the common weights on one in ``Settings.stride`` of all its windows - a share, not
-a cap, so that what is gathered grows with the input - and the tasks' weights are averaged by
-windows, in a tree of two levels. The driver holds counts and weights, both of fixed size.
+Training is spread over the corpus and takes every window: in each of ``Settings.rounds`` rounds
+every task runs gradient descent from the common weights on every ``Settings.stride``-th window of
+each of its texts, from another place in each round, and the tasks' weights are averaged by
+windows, in a tree of two levels. There are at least as many rounds as places. The driver holds counts and weights, both of fixed size.
 
 A document's score is the sum of its tokens' conditional log-probabilities; mean is that by token.
 
@@ -48,7 +48,7 @@ class Settings:
     alone: int = 48  # most frequent buckets that are a class each
     bands: int = 16  # classes of the others
     width: int = 16
-    stride: int = 8
+    stride: int = 2  # at most rounds, so that no window is left out
     rounds: int = 2
     rate: float = 0.2
     batch: int = 2048
@@ -166,6 +166,8 @@ def count(docs: DataFrame, text: str, s: Settings) -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str, s: Settings, lexicon: Lexicon) -> Network:
+    if s.stride > s.rounds:
+        raise ValueError("stride beyond rounds would leave windows out")
     spark = docs.sparkSession
     net = Network(s, lexicon.prior)
     held_lexicon = spark.sparkContext.broadcast(lexicon)
@@ -175,12 +177,11 @@ def train(docs: DataFrame, text: str, s: Settings, lexicon: Lexicon) -> Network:
         def run(batches: Iterator[pa.RecordBatch], r: int = r, held=held) -> Iterator[pa.RecordBatch]:
             words, reader = held_lexicon.value, Reader(s)
             own = Network(s, words.prior).load(held.value)
-            windows, kinds, waiting, done, at, mark = [], [], 0, 0, r, 0
+            windows, kinds, waiting, done, mark = [], [], 0, 0, 0
             for batch in batches:
                 for t in batch.column(0).to_pylist():
                     b = reader.buckets(t)
-                    pick = np.arange(at % s.stride, len(b), s.stride)
-                    at += len(b) + 1
+                    pick = np.arange(r % s.stride, len(b), s.stride)  # by place in the text alone: the order of rows may differ between rounds
                     mark ^= len(b)
                     if not len(pick):
                         continue

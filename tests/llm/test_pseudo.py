@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from claimloom.llm.pseudo import Lexicon, Network, Reader, Settings, count, log_likelihoods, op4_pseudo_likelihood, score, train
 
@@ -46,3 +47,21 @@ def test_query_and_odd_rows(spark):
     assert got[1, "x"].log_likelihood == 0 and got[1, "x"].mean_log_likelihood is None and got[2, "x"]["_n_tokens"] == 0
     assert got[3, "y"].log_likelihood == got[3, "z"].log_likelihood and got[4, "z"]["_n_tokens"] == 30_000
     assert score(docs.limit(0), s=SMALL).count() == 0
+
+
+def test_every_window_is_trained_on(spark):
+    """Texts of 7 words, where each place has words of its own: every word moves its row of each position's table where it is a neighbour."""
+    docs = spark.createDataFrame([(i, "a b c d e f g") for i in range(40)], "doc_id long, text string").coalesce(1)
+    s = Settings(batch=8)
+    lexicon = Lexicon(count(docs, "text", s), s)
+    net, fresh = train(docs, "text", s, lexicon), Network(s, lexicon.prior)
+    rows = lexicon.row[Reader(s).buckets("a b c d e f g")]
+    moved = (np.abs(net.e[:, rows] - fresh.e[:, rows]) > 1e-5).any(2)  # beyond rounding
+    for k, o in enumerate((-2, -1, 1, 2)):
+        assert moved[k].tolist() == [0 <= i - o < 7 for i in range(7)], o
+
+
+def test_windows_cannot_be_left_out_by_settings(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        train(docs, "text", Settings(stride=3, rounds=2), Lexicon(np.ones(1 << 17, np.int64), Settings()))
