@@ -3,12 +3,16 @@
 A word's embedding is the sum of four hashed rows: the word and its first 4, 5 and 6 letters,
 so that words never seen lean on their stems. Filters of one, two and three words slide over
 the whole text, the maximum of each over all places is kept, and a linear layer on these
-gives a logit. Training runs on the driver over a bounded sample of labelled rows
-(``Settings.rows`` of each label, by hash of the id); a gradient reaches only the places that
-gave a maximum. The first columns of the embeddings start from the sample's smoothed log-odds.
+gives a logit. Training runs in one task, of which the driver receives the network alone, over
+a bounded sample of labelled rows: by hash of the id, ``Settings.rows`` of each label at most,
+and ``Settings.bytes`` of text of each, from texts of at most ``Settings.longest`` bytes (longer
+ones give way to the next in order). A gradient reaches only the places that gave a maximum.
+The first columns of the embeddings start from the sample's smoothed log-odds.
 
 A threshold is calibrated for each language on a part of the labelled rows that training did
-not see. The language is told from the text by its function words; the table's lang, source,
+not see: a balanced logistic regression on their logits, for all of them and for each language,
+whose own threshold counts by its evidence, n / (n + ``Settings.prior``) with n rows of its
+rarer label; the common one has the rest. The language is told from the text by its function words; the table's lang, source,
 doc_id and labels never enter a score. score = sigmoid(logit - threshold): 0.5 is the threshold.
 
 Defined cases: null and empty texts get the score of a text without words; texts of any
@@ -19,14 +23,16 @@ labels every score is the share of toxic labels (0 without labels); other column
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, small_batches, table
 
@@ -45,7 +51,8 @@ TABLES, PAD_WORDS = 4, 2
 @dataclass(frozen=True)
 class Settings:
     rows: int = 2500  # labelled rows of each label that training reads
-    longest: int = 20_000  # words of a row that training reads; longer rows are scored, not trained on
+    longest: int = 200_000  # bytes of a text that training reads; longer texts are scored, not trained on
+    bytes: int = 16 << 20  # of the sample's texts of each label
     word_bits: int = 18
     stem_bits: int = 16
     width: int = 8
@@ -53,7 +60,7 @@ class Settings:
     epochs: int = 2
     batch: int = 64
     rate: float = 0.01
-    calibrate: int = 25  # rows of each label from which a language gets a threshold of its own
+    prior: float = 25  # rows that the common threshold weighs against a language's own
     seed: int = 3
 
     @property
@@ -161,6 +168,31 @@ class Network:
         self.b[TABLES], self.v[TABLES], self.c[0] = -1.0, 0.8, -1.5
         self.e[-1] = 0
 
+    def gradients(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Of the mean weighted logistic loss: by name, and for the embeddings the rows touched (n, TABLES) and what each of them gets (n, width)."""
+        s, f = self.s, self.s.filters
+        pad = np.full((PAD_WORDS + 1, TABLES), s.offsets[-1], np.int32)
+        rows = np.concatenate([x for d in docs for x in (d, pad)])
+        bounds = np.cumsum([0, *(len(d) + len(pad) for d in docs)])
+        x = self.e[rows].sum(1)
+        z = self.conv(x)
+        at = np.stack([a + z[a : b - PAD_WORDS].argmax(0) for a, b in zip(bounds[:-1], bounds[1:])])
+        on = np.maximum(np.take_along_axis(z, at, 0) + self.b, 0)
+        p = 1 / (1 + np.exp(-(on @ self.v + self.c[0])))
+        d = ((p - y) * weight / len(docs)).astype(np.float32)
+        g = d[:, None] * self.v * (on > 0)
+        grads = {"v": on.T @ d, "c": d.sum(keepdims=True), "b": g.sum(0), "w": np.zeros_like(self.w)}
+        touched, deltas, k = [], [], 0
+        for size in (1, 2, 3):
+            part = slice((size - 1) * f, size * f)
+            for j in range(size):
+                place = at[:, part] + j
+                grads["w"][k] = np.einsum("bf,bfd->df", g[:, part], x[place])
+                touched.append(rows[place].reshape(-1, TABLES))
+                deltas.append((g[:, part, None] * self.w[k].T[None]).reshape(-1, s.width))
+                k += 1
+        return grads, np.concatenate(touched), np.concatenate(deltas)
+
     def train(self, docs: list[np.ndarray], y: np.ndarray) -> None:
         """docs: the words' rows, each (words, TABLES)."""
         s = self.s
@@ -169,33 +201,13 @@ class Network:
         names = ("w", "b", "v", "c")
         state = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in names}
         m_e, v_e = np.zeros_like(self.e), np.zeros_like(self.e)
-        pad = np.full((PAD_WORDS + 1, TABLES), s.offsets[-1], np.int32)
         weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
-        step, f = 0, s.filters
+        step = 0
         for _ in range(s.epochs):
             order = rng.permutation(len(docs))
             for low in range(0, len(order), s.batch):
                 pick = order[low : low + s.batch]
-                rows = np.concatenate([x for i in pick for x in (docs[i], pad)])
-                bounds = np.cumsum([0, *(len(docs[i]) + len(pad) for i in pick)])
-                x = self.e[rows].sum(1)
-                z = self.conv(x)
-                at = np.stack([a + z[a : b - PAD_WORDS].argmax(0) for a, b in zip(bounds[:-1], bounds[1:])])
-                pooled = np.take_along_axis(z, at, 0)
-                on = np.maximum(pooled + self.b, 0)
-                p = 1 / (1 + np.exp(-(on @ self.v + self.c[0])))
-                d = ((p - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
-                g = d[:, None] * self.v * (on > 0)
-                grads = {"v": on.T @ d, "c": d.sum(keepdims=True), "b": g.sum(0), "w": np.zeros_like(self.w)}
-                touched, deltas, k = [], [], 0
-                for size in (1, 2, 3):
-                    part = slice((size - 1) * f, size * f)
-                    for j in range(size):
-                        place = at[:, part] + j
-                        grads["w"][k] = np.einsum("bf,bfd->df", g[:, part], x[place])
-                        touched.append(rows[place].reshape(-1, TABLES))
-                        deltas.append((g[:, part, None] * self.w[k].T[None]).reshape(-1, s.width))
-                        k += 1
+                grads, touched, deltas = self.gradients([docs[i] for i in pick], y[pick], weight[pick])
                 step += 1
                 fix = s.rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for name in names:
@@ -203,11 +215,10 @@ class Network:
                     m += 0.1 * (grads[name] - m)
                     v += 0.001 * (grads[name] ** 2 - v)
                     getattr(self, name)[...] -= fix * m / (np.sqrt(v) + 1e-8)
-                which, where = np.unique(np.concatenate(touched).T.ravel(), return_inverse=True)
+                which, where = np.unique(touched.T.ravel(), return_inverse=True)
                 sums = np.zeros((len(which), s.width), np.float32)
-                all_deltas = np.concatenate(deltas)
                 for t in range(TABLES):
-                    np.add.at(sums, where[t * len(all_deltas) : (t + 1) * len(all_deltas)], all_deltas)
+                    np.add.at(sums, where[t * len(deltas) : (t + 1) * len(deltas)], deltas)
                 m_e[which] += 0.1 * (sums - m_e[which])
                 v_e[which] += 0.001 * (sums**2 - v_e[which])
                 self.e[which] -= fix * m_e[which] / (np.sqrt(v_e[which]) + 1e-8)
@@ -288,49 +299,42 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest gap among cuts with the fewest mistakes, both labels weighing alike."""
-    order = np.argsort(logits, kind="stable")
-    x, t = logits[order], y[order]
-    miss = np.concatenate([[0], np.cumsum(t / max(t.sum(), 1) - (1 - t) / max((1 - t).sum(), 1))])  # cut before place i
-    edges = np.concatenate([[x[0] - 2], x, [x[-1] + 2]])
-    width = np.diff(edges)
-    best = np.flatnonzero(miss <= miss.min() + 1e-9)
-    i = best[width[best].argmax()]
-    return float((edges[i] + edges[i + 1]) / 2)
-
+def threshold_of(logits: np.ndarray, y: np.ndarray) -> float:
+    """Where a logistic regression on the logits, both labels weighing alike, is in doubt."""
+    centre, spread = logits.mean(), logits.std() + 1e-9
+    x = (logits - centre) / spread
+    w = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
+    at, ridge = np.array([1.0, 0.0]), 1e-4
+    columns = np.column_stack([x, np.ones_like(x)])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(columns @ at, -30, 30)))
+        slope = columns.T @ (w * (p - y)) + ridge * at * (1, 0)
+        bend = (columns * (w * p * (1 - p))[:, None]).T @ columns + ridge * np.eye(2)
+        at -= np.clip(np.linalg.solve(bend, slope), -2, 2)
+    place = -at[1] / at[0] if at[0] > 1e-3 else 0.0
+    return float(centre + spread * np.clip(place, x.min() - 1, x.max() + 1))
+
+
+def thresholds(logits: np.ndarray, y: np.ndarray, langs: np.ndarray, prior: float) -> np.ndarray:
+    """Of each language, and last of none: its own and the common one, weighed by the rows of its rarer label."""
+    common = threshold_of(logits, y)
+    out = np.full(len(LANGUAGES) + 1, common)
+    for k in range(len(LANGUAGES)):
+        own = langs == k
+        n = min((y[own] == 1).sum(), (y[own] == 0).sum())
+        if n:
+            out[k] += n / (n + prior) * (threshold_of(logits[own], y[own]) - common)
+    return out
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Trains on labelled rows that are not held out: at most s.rows of each label, by hash of the id, of at most s.longest words."""
-    small_batches(docs.sparkSession)
-    use = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    order = F.xxhash64("doc_id")
-    sample = use.where("y = 1").orderBy(order, "doc_id").limit(s.rows).unionByName(use.where("y = 0").orderBy(order, "doc_id").limit(s.rows))
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), "text")
-    joined = texts.join(F.broadcast(sample), F.col("d") == F.col("doc_id")).select("d", "y", "text")
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(s)
-        for batch in batches:
-            ids, ys, out, langs = [], [], [], []
-            for d, y, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = text.lower().split()
-                if len(tokens) <= s.longest:
-                    words.ready(len(tokens))
-                    slots = words.slots(tokens)
-                    ids.append(d), ys.append(y), langs.append(language(words.vote[slots])), out.append(words.rows[slots].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(langs, pa.int32()), pa.array(out, pa.binary())], names=["d", "y", "lang", "rows"])
-
-    got = joined.mapInArrow(rows_of, "d long, y int, lang int, rows binary").toArrow()
-    d, y, langs = (got.column(c).to_numpy() for c in ("d", "y", "lang"))
-    data = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, TABLES) for x in got.column("rows")]  # views of what was received, no copies
+def trained(d: np.ndarray, y: np.ndarray, langs: np.ndarray, data: list[np.ndarray], s: Settings) -> Model:
+    """A model of labelled rows; data holds the rows of each row's words."""
     order = np.lexsort([[zlib.crc32(x.tobytes()) for x in data], d]) if len(d) else np.zeros(0, int)
     order = order[np.concatenate([[True], d[order][1:] != d[order][:-1]])] if len(order) else order  # repeated rows once
     d, y, langs, data = d[order], y[order], langs[order], [data[i] for i in order]
     share = float(y.mean()) if len(y) else 0.0
-    nowhere = np.zeros(len(LANGUAGES) + 1)
     if len(set(y.tolist())) < 2:
-        return Model(None, nowhere, share)
+        return Model(None, np.zeros(len(LANGUAGES) + 1), share)
     fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in d])
     tune = fold == 1
     if len(set(y[tune].tolist())) < 2 or len(set(y[~tune].tolist())) < 2:
@@ -340,15 +344,45 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     check = tune if tune.any() else ~tune
     pad = np.zeros((PAD_WORDS + 1, s.width), np.float32)
     logits = np.array([net.logits(net.conv(np.concatenate([net.e[x].sum(1), pad])).max(0)) for x, t in zip(data, check) if t], np.float64)
-    del data, got  # the driver keeps the network alone
-    pa.default_memory_pool().release_unused()
-    y, langs = y[check], langs[check]
-    threshold = nowhere + best_threshold(logits, y)
-    for k in range(len(LANGUAGES)):
-        own = langs == k
-        if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= s.calibrate:
-            threshold[k] = best_threshold(logits[own], y[own])
-    return Model(net, threshold, share)
+    return Model(net, thresholds(logits, y[check], langs[check], s.prior), share)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """(d, y, text) of the rows that training reads."""
+    use = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), "text")
+    sizes = texts.select("d", F.octet_length("text").alias("size")).where(F.col("size") <= s.longest).groupBy("d").agg(F.max("size").alias("size"))
+    found, order = use.join(sizes, F.col("d") == F.col("doc_id")).select("d", "y", "size"), F.xxhash64("d")
+    picked = found.where("y = 1").orderBy(order, "d").limit(s.rows).unionByName(found.where("y = 0").orderBy(order, "d").limit(s.rows))
+    sofar = F.sum("size").over(Window.partitionBy("y").orderBy(order, "d"))  # over 2 * s.rows rows
+    sample = picked.withColumn("sofar", sofar).where(F.col("sofar") <= s.bytes).select(F.col("d").alias("id_"), "y")
+    return texts.join(F.broadcast(sample), (F.col("d") == F.col("id_")) & (F.octet_length("text") <= s.longest)).select("d", "y", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
+    """Trains on labelled rows that are not held out, a bounded sample (see above), in one task."""
+    small_batches(docs.sparkSession)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(s)
+        for batch in batches:
+            langs, out = [], []
+            for text in batch.column(2).to_pylist():
+                tokens = text.lower().split()
+                words.ready(len(tokens))
+                slots = words.slots(tokens)
+                langs.append(language(words.vote[slots])), out.append(words.rows[slots].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(langs, pa.int32()), pa.array(out, pa.binary())], names=["d", "y", "lang", "rows"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        column = lambda k: np.concatenate([np.zeros(0, int), *(b.column(k).to_numpy(zero_copy_only=False) for b in got)]).astype(int)
+        data = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, TABLES) for b in got for x in b.column(3)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(column(0), column(1), column(2), data, s), 5)], pa.binary())], names=["model"])
+
+    read = labelled(docs, labels, s).mapInArrow(rows_of, "d long, y int, lang int, rows binary")
+    got = read.repartition(1).mapInArrow(learn, "model binary").collect()  # the network alone
+    return pickle.loads(got[0]["model"]) if got else Model(None, np.zeros(len(LANGUAGES) + 1), 0.0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -372,8 +406,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 added = [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array([names[i] for i in langs], pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, n_score, n_predicted, n_lang])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*docs.schema.fields, T.StructField(n_score, T.DoubleType()), T.StructField(n_predicted, T.IntegerType()), T.StructField(n_lang, T.StringType())])
     return docs.mapInArrow(run, schema)
 
