@@ -4,20 +4,24 @@
    Documents with one set are one node, named by the smallest id, before anything is paired:
    exact copies, however many, cost a partial aggregation.
 2. The forest has several orders (trees) of the signature. Nodes that share a tree's first
-   ``DEPTH`` values stand in one region; regions of one are dropped by a count.
-3. Within a region, nodes are sorted by the rest of the tree's order, so that neighbours have
-   the longest common prefixes: the depth adapts to how dense the region is. Each node is a
-   candidate with its ``NEAR`` neighbours, if the signatures agree in enough places; of a batch's
-   candidates the spanning forest of best agreement is kept. Sets decide what is a link.
-4. The exact rest: regions that still hold several components are open. A node's home is the
-   largest open region that its regions reach, so that a family's regions in all trees come to
-   one home; there, full sets are compared across components within the task, which gives out
+   ``DEPTH`` values stand in one region, the shallowest subtree that is asked; regions of one
+   are dropped by a count. All trees' regions are sorted together by range, prefix first, so
+   that a region of any size is spread over tasks.
+3. The longest common prefix of neighbours in that order is measured, and a node's candidates
+   are the ``NEAR`` of the ``2 * NEAR`` nodes around it that share the longest prefixes: in a dense
+   region that is deep in the tree, in a sparse one down to ``DEPTH``. Candidates whose signatures
+   agree in too few places are passed over, of a batch's candidates the spanning forest of
+   best agreement is kept, and full sets decide what is a link.
+4. The ascent: regions that still hold several components are open, and what their prefixes
+   were too shallow for is compared. A node's home is the largest open region that its regions reach, so that a family's
+   regions in all trees come to one home; there, full sets are compared across components within the task, which gives out
    no more links than join components. What pairs an open region holds across homes are confirmed
    singly, each in the first tree that shows it. Large groups are dealt out as pairs of
-   blocks, so that no task holds a group of unbounded size.
+   blocks of bounded rows and shingles, so that no task holds a group of unbounded size.
 
-At similarity 0.75 a pair shares no region of 32 trees of depth 4 with probability 5e-6, and
-falls below the agreement asked of 128 values with about as much.
+The search for candidates is a sketch throughout, the ascent too: at similarity 0.75 a pair shares
+no region of 32 trees of depth 4 with probability 5e-6, and its signatures agree in fewer than
+``AGREE`` of 128 values with 6e-6; more similar pairs are missed less. Links are exact: full sets confirm them.
 
 Defined cases: a text without words (null, empty, blank) has an empty set and is linked with
 nothing; fewer than five words are one shingle; rows that share an id are one document
@@ -34,13 +38,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import by_ids, small_batches, stash, table
+from .common import BROADCAST_IDS, by_ids, small_batches, stash, table
 from .components import components
 from .shingles import Shingler, signatures
 
 TREES, DEPTH, SLOTS, NEAR, BLOCK = 32, 4, 128, 8, 2048
+#: Values of an order after the first DEPTH that nodes are sorted by, and shingles that a block may hold.
+SORTED, BLOCK_SHINGLES = 16, 1 << 22
 #: Of 128 values so many must agree: 4.4 standard deviations below what 0.75 gives.
 AGREE = 74
 ORDERS = np.stack([np.random.default_rng(100 + t).permutation(SLOTS) for t in range(TREES)])
@@ -130,26 +135,61 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
 
+def longest_prefixes(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """How many values each row's order shares with that of the row before; 0 in another region."""
+    out = np.zeros(len(key), np.int64)
+    same = rest[1:] == rest[:-1]
+    out[1:] = np.where(key[1:] == key[:-1], DEPTH + np.minimum.accumulate(same, axis=1).sum(1), 0)
+    return out
+
+
+def by_longest_prefix(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in sorted rows: of the 2 * NEAR rows around each, the NEAR of one region with the longest common prefixes; nearer ones first among equals."""
+    step, n = longest_prefixes(key, rest), len(key)
+    # shared[d]: prefix that row j has in common with row j - d - 1
+    shared, now = np.zeros((NEAR, n), np.int64), step.copy()
+    for d in range(min(NEAR, n)):
+        if d:
+            now[d:] = np.minimum(now[d:], step[: n - d])
+            now[:d] = 0
+        shared[d] = now
+    back, ahead = shared, np.zeros_like(shared)
+    for d in range(min(NEAR, n - 1)):
+        ahead[d, : n - d - 1] = shared[d, d + 1 :]
+    both = np.stack([back, ahead], 1).reshape(2 * NEAR, n)  # by distance, before and after
+    turn = np.argsort(-both, axis=0, kind="stable")[:NEAR]
+    taken = np.zeros_like(both, bool)
+    np.put_along_axis(taken, turn, True, axis=0)
+    taken &= both > 0
+    taken = taken.reshape(NEAR, 2, n)
+    pairs = [np.zeros((2, 0), np.int64)]
+    for d in range(min(NEAR, n - 1)):
+        j = np.flatnonzero(taken[d, 0, d + 1 :] | taken[d, 1, : n - d - 1]) + d + 1
+        pairs.append(np.stack([j - d - 1, j]))
+    i, j = np.concatenate(pairs, axis=1)
+    return i, j
+
+
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by region and order: candidate pairs of nodes near each other in the order."""
+    """From rows sorted by region and order: candidate pairs of nodes with long common prefixes, in spanning forests."""
     last: tuple | None = None
     for batch in batches:
-        rows = _rows(batch)
+        rest = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("rest")).to_pylist()), ">u2").reshape(-1, SORTED)
+        key, _, node, n, sig = _rows(batch)
+        rows = (key, node, n, sig, rest)
         if last is not None:
             rows = tuple(np.concatenate([x, y]) for x, y in zip(last, rows))
-        key, _, node, n, sig = rows
-        new, found = len(key) - batch.num_rows, []
-        for d in range(1, NEAR + 1):
-            j = np.arange(max(d, new), len(key))
-            j = j[(key[j] == key[j - d]) & (node[j] != node[j - d])]
-            if len(j):
-                alike = _alike(n, sig, j - d, j)
-                ok = alike >= AGREE
-                found.append((alike[ok], j[ok] - d, j[ok]))
-        last = tuple(x[-NEAR:] for x in rows)
-        if not found:
+        key, node, n, sig, rest = rows
+        new = len(key) - batch.num_rows
+        last = tuple(x[-2 * NEAR :] for x in rows)
+        i, j = by_longest_prefix(key, rest)
+        some = (j >= new) & (node[i] != node[j])
+        i, j = i[some], j[some]
+        alike = _alike(n, sig, i, j)
+        some = alike >= AGREE
+        alike, i, j = alike[some], i[some], j[some]
+        if not len(i):
             continue
-        alike, i, j = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(-alike, kind="stable")
         up: dict[int, int] = {}
 
@@ -194,26 +234,40 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs(np.concatenate(out_a), np.concatenate(out_b))
 
 
+def joined(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """df with the columns of a written table that has each key once: by broadcast if that is small, else by a shuffle whose hot keys adaptive execution splits."""
+    if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        rows = rows.hint("broadcast")
+    return df.join(rows, key)
+
+
 def home_regions(open_: DataFrame) -> DataFrame:
-    """(node, home): the largest region that a node's regions reach through their nodes. A family's regions in the several trees so come to one home."""
-    size = F.struct("m", "key")
+    """(node, home): the largest region that a node's regions reach through their nodes. A family's regions in the several trees so come to one home.
+
+    Size and half of the key make one number, whose maxima are taken before anything is shuffled; regions that share it share a home."""
+    size = F.shiftleft(F.col("m"), 32).bitwiseOR(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))
     first = open_.groupBy("node").agg(F.max(size).alias("h"))
-    second = open_.select("key", "node").join(first, "node").groupBy("key").agg(F.max("h").alias("h"))
-    return open_.select("key", "node").join(second, "key").groupBy("node").agg(F.max("h")["key"].alias("home"))
+    second = stash(open_.select("key", "node").join(first, "node").groupBy("key").agg(F.max("h").alias("h")), "homes")
+    return joined(open_.select("key", "node"), second, "key").groupBy("node").agg(F.max("h").alias("home"))
 
 
-def deal(rows: DataFrame, key: str, size: str, width: int) -> DataFrame:
-    """rows grouped by key, a group of more than BLOCK rows as pairs (lo, hi) of blocks, sorted."""
-    parts = F.ceil(F.col(size) / BLOCK).cast("int")
+def deal(rows: DataFrame, key: str, parts: str, width: int) -> DataFrame:
+    """rows grouped by key, each group in as many blocks as parts says, as pairs (lo, hi) of blocks, sorted."""
     dealt = (
-        rows.withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col(parts)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(parts).cast("int") - 1)))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
     )
     return dealt.repartition(width, key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
+def blocks(rows: str, shingles: str | None = None):
+    """Of how many blocks a group of so many rows and shingles is."""
+    by_rows = F.ceil(F.col(rows) / BLOCK)
+    return (F.greatest(by_rows, F.ceil(F.col(shingles) / BLOCK_SHINGLES)) if shingles else by_rows).cast("int")
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """The rows of each (key, lo, hi), from sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -280,15 +334,8 @@ def within_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs(np.array(out_a), np.array(out_b))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = stash(sketch(docs), "sketch")
-    sets = sketched.where("doc_id is not null and n_shingles > 0")
-    # signatures travel once a set and task, by partial aggregation
-    nodes = stash(sets.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
+def forest(nodes: DataFrame) -> DataFrame:
+    """A written table of the rows (key, tree, node, n, sig, m, rest) of all regions of more than one node: m is the region's size, rest the order's next values."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,38 +346,61 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, tree, _, _, sig = _rows(batch)
-            rest = np.take_along_axis(sig, ORDERS[tree][:, DEPTH : DEPTH + 16], 1).astype(">u2")
+            rest = np.take_along_axis(sig, ORDERS[tree][:, DEPTH : DEPTH + SORTED], 1).astype(">u2")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in rest], pa.binary())], names=[*batch.schema.names, "rest"])
 
     placed = nodes.select("node", "sig").mapInArrow(keys, "key long, tree int, node long")
-    shared = placed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    regions = stash(shared.join(nodes.select("node", "n", "sig"), "node").select("key", "tree", "node", "n", "sig", "m"), "regions")
-    walk = regions.mapInArrow(ordered, "key long, tree int, node long, n long, sig binary, m long, rest binary")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = stash(walk.repartition(width, "key").sortWithinPartitions("key", "rest").mapInArrow(neighbours, "a long, b long").distinct(), "pairs")
-    links = stash(confirm(docs, pairs), "links")
-    found = stash(components(links), "found")
-
-    # the exact rest: regions that still hold several components
-    labelled = regions.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    open_ = stash(labelled.join(mixed, "key", "left_semi"), "open")
+    sizes = stash(placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    shared = joined(placed, sizes, "key").join(nodes.select("node", "n", "sig"), "node")
+    return stash(shared.select("key", "tree", "node", "n", "sig", "m").mapInArrow(ordered, "key long, tree int, node long, n long, sig binary, m long, rest binary"), "regions")
+
+
+def candidates(regions: DataFrame, width: int) -> DataFrame:
+    """A written table of the forest's candidate pairs (a, b)."""
+    walk = regions.select("key", "tree", "node", "n", "sig", "rest").repartitionByRange(width, "key", "rest").sortWithinPartitions("key", "rest")
+    return stash(walk.mapInArrow(neighbours, "a long, b long").distinct(), "pairs")
+
+
+def ascent(docs: DataFrame, regions: DataFrame, pairs: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """A written table of links (a, b) between components that still share a region."""
+    component = F.coalesce("component", "node")
+    narrow = regions.select("key", "node").join(found, "node", "left").groupBy("key")
+    mixed = stash(narrow.agg(F.min(component).alias("c0"), F.max(component).alias("c1")).where("c0 <> c1").select("key"), "mixed")
+    open_ = by_ids(regions.drop("rest"), mixed, "key", "left_semi").join(found, "node", "left").withColumn("component", component)
+    open_ = stash(open_, "open")
     homes = stash(home_regions(open_), "homes")
-    crowded = homes.join(homes.groupBy("home").agg(F.count("*").alias("g")).where("g > 1"), "home")
-    at_home = crowded.join(open_.select("node", "sig", "component").dropDuplicates(["node"]), "node")
-    at_home = at_home.join(full_sets(docs, stash(crowded.select("node"), "ids")), "node")
-    links_home = stash(deal(at_home, "home", "g", width).mapInArrow(within_homes, "a long, b long"), "links")
-    apart = deal(open_.join(homes, "node"), "key", "m", width).mapInArrow(across, "a long, b long").distinct()
+    each = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("component").alias("component"))
+    each = stash(each.join(homes, "node"), "each")
+    groups = stash(each.groupBy("home").agg(F.count("*").alias("g"), F.sum("n").alias("w")).where("g > 1").select("home", blocks("g", "w").alias("parts")), "groups")
+    at_home = joined(each.drop("n"), groups, "home")
+    at_home = at_home.join(full_sets(docs, stash(at_home.select("node"), "ids")), "node")
+    links = stash(deal(at_home, "home", "parts", width).mapInArrow(within_homes, "a long, b long"), "links")
+    apart = deal(open_.join(homes, "node").withColumn("parts", blocks("m")), "key", "parts", width).mapInArrow(across, "a long, b long").distinct()
     more = stash(apart.join(pairs, ["a", "b"], "left_anti"), "more")
-    extra = links_home if more.isEmpty() else links_home.union(confirm(docs, more))
-    extra = stash(extra, "links")
+    return links if more.isEmpty() else stash(links.union(confirm(docs, more)), "links")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sketched = stash(sketch(docs), "sketch")
+    sets = sketched.where("doc_id is not null and n_shingles > 0")
+    # signatures travel once a set and task, by partial aggregation
+    nodes = stash(sets.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
+    regions = forest(nodes)
+    pairs = candidates(regions, width)
+    found = stash(components(stash(confirm(docs, pairs), "links")), "found")
+    extra = ascent(docs, regions, pairs, found, width)
     if not extra.isEmpty():
         found = stash(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)), "found")
 
     of_set = nodes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("c"))
-    joined = sketched.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    labelled = sketched.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:

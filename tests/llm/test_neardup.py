@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from claimloom.llm import neardup
@@ -67,6 +68,77 @@ def test_families_of_edited_copies(spark, monkeypatch):
     assert kept == {i for i, (_, c) in brute(rows).items() if i == c}
 
 
+def family(rng, words, base, first, n, edits):
+    out = []
+    for i in range(first, first + n):
+        text = list(base)
+        for _ in range(rng.randrange(edits)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        out.append((i, " ".join(text)))
+    return out
+
+
+def test_a_family_of_thousands_over_many_partitions(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    rows = family(rng, words, rng.choices(words, k=200), 0, 2500, 12) + [(i, " ".join(rng.choices(words, k=60))) for i in range(5000, 5400)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(50)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_links_come_from_the_forest(spark, monkeypatch):
+    """What the ascent adds after the forest's candidates is a small rest, and nothing is linked without them."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(2000)]
+    rows = [r for k in range(40) for r in family(rng, words, rng.choices(words, k=80), 100 * k, 1 + k, 6)]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string"), []
+    plain = neardup.ascent
+
+    def watched(docs, regions, pairs, found, width):
+        out = plain(docs, regions, pairs, found, width)
+        seen.append((found.where("node <> component").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "ascent", watched)
+    check(near_duplicates(docs).collect(), rows)
+    (merged, extra) = seen[0]
+    assert merged > 250 and extra <= 0.02 * merged
+
+
+def test_candidates_have_the_longest_prefixes():
+    """Against every pair's prefix: what each row keeps is never shorter than what it passes over nearby."""
+    nrng = np.random.default_rng(3)
+    key = np.sort(nrng.integers(0, 4, 120))
+    rest = nrng.integers(0, 3, (120, neardup.SORTED)).astype(np.uint16)
+    order = np.lexsort([*rest.T[::-1], key])
+    key, rest = key[order], rest[order]
+    prefix = lambda a, b: 0 if key[a] != key[b] else neardup.DEPTH + int(np.cumprod(rest[a] == rest[b]).sum())
+    assert [prefix(i - 1, i) for i in range(1, 120)] == neardup.longest_prefixes(key, rest)[1:].tolist()
+    i, j = neardup.by_longest_prefix(key, rest)
+    got = set(zip(i.tolist(), j.tolist()))
+    for x in range(120):
+        near = [y for y in range(max(0, x - neardup.NEAR), min(120, x + neardup.NEAR + 1)) if y != x]
+        best = sorted((prefix(x, y) for y in near), reverse=True)[: neardup.NEAR]
+        kept = sorted((prefix(x, y) for y in near if (min(x, y), max(x, y)) in got), reverse=True)
+        assert [p for p in best if p] == kept[: sum(p > 0 for p in best)]
+    assert all(key[a] == key[b] for a, b in got)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    long = rng.choices([f"w{i}" for i in range(9000)], k=120_000)
+    other = list(long)
+    other[::40] = ["x"] * len(other[::40])
+    rows = [(1, " ".join(long)), (2, " ".join(long)), (3, " ".join(other)), (4, " ".join(long[:60_000]))]
+    check(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 def test_null_ids_stay_and_empty_tables_pass(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
     got = near_duplicates(docs).collect()
