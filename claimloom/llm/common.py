@@ -12,7 +12,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Holds what a Python worker gets at once to some megabytes of text, whatever the rows' lengths; sizes that the session has set smaller stay."""
+    """Holds what a Python worker gets at once to some megabytes of text, whatever the rows' lengths; sizes that the session has set smaller stay.
+
+    The settings are read when a plan runs, after the operator has returned it, so they stay in the session."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = str(spark.conf.get(name)).rstrip("b")
         if not now.isdigit() or int(now) > most or int(now) <= 0:
@@ -24,22 +26,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a folder of our own only where the session names none, as in tests."""
+    """The folder that all executors see; a folder of our own only where the session names none and runs on this machine alone, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="claimloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders that stash has written and discard has not deleted.
+_written: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
+    """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing. The folder stays until ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/claimloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *more: str) -> None:
+    """Deletes what stash has written so far, and more folders; results that read from them must have been written elsewhere."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in [*_written, *more]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    _written.clear()
+
+
 def fresh(taken: list[str], *wanted: str) -> list[str]:
     """Column names that no column of the input bears, in either case."""
     used, out = {c.lower() for c in taken}, []

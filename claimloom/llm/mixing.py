@@ -142,8 +142,11 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, whole, each as often as it takes them (rounded, three times at most)."""
+    """The documents that the mix takes, whole, each as often as it takes them (rounded, three times at most).
+
+    A document without words takes none of the quota and stays once. Null ids and sources, repeated rows and
+    other columns are as in ``mix``; an empty table stays empty."""
     size, copies = fresh(docs.columns, "size", "copies_")
     mixed = mix(docs.withColumn(size, words(F.col("text"))), size)
-    times = F.round(F.col(mixed.columns[-1]) / F.greatest(F.col(size), F.lit(1))).cast("int")
+    times = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.round(F.col(mixed.columns[-1]) / F.col(size))).cast("int")
     return mixed.withColumn(copies, times).where(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

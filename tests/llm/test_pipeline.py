@@ -90,3 +90,27 @@ def test_every_row_is_encoded(steps):
     for r in rows:
         assert list(r.ids) == oracle.encode_ordinary(held[r.doc_id])
         assert r.decoded_sha256 == hashlib.sha256(held[r.doc_id].encode()).hexdigest()
+
+
+def test_defined_cases_pass_through_every_stage(spark, tmp_path):
+    """Null texts, ids and sources, empty and blank texts, repeated rows, an empty table and columns of clashing names."""
+    rows = [(None, None, None), (None, "a b c d e f", "s"), (1, "", "s"), (2, " \t", None), (3, "one two three four five six", "s"), (3, "one two three four five six", "s"), (4, None, "t"), (5, "password=hunter22x", "t")]
+    extra = spark.createDataFrame([(*r, "x", 1.0, 7, "k") for r in rows], "doc_id long, text string, source string, spans string, score double, size int, component_id string")
+    for docs in (extra, extra.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, PATH)
+            if name != "bpe":
+                assert out.columns == docs.columns
+            out.write.parquet(path := str(tmp_path / f"{name}-{docs.limit(1).count()}"))
+            docs = spark.read.parquet(path)
+        if docs.limit(1).count():
+            got = [(r.doc_id, r.n_tokens) for r in docs.collect()]
+            assert sum(i is None for i, _ in got) >= 2 and {1, 2, 4} <= {i for i, _ in got}
+            assert all(n == 0 for i, n in got if i in (1, 4))
+        else:
+            assert docs.columns[-4:] == ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+def test_the_pipeline_as_a_whole(spark, steps):
+    want = sorted((r.doc_id, r.ids_sha256) for r in steps["bpe"][1].collect())
+    assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, PATH).collect()) == want
