@@ -392,10 +392,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stash(sets.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
     regions = forest(nodes)
     pairs = candidates(regions, width)
-    found = stash(components(stash(confirm(docs, pairs), "links")), "found")
+    found = components(stash(confirm(docs, pairs), "links"))
     extra = ascent(docs, regions, pairs, found, width)
     if not extra.isEmpty():
-        found = stash(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)), "found")
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra))
 
     of_set = nodes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("c"))
     labelled = sketched.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")

@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from claimloom.llm import components as components_of
 from claimloom.llm import neardup
 from claimloom.llm.components import components
 from claimloom.llm.neardup import near_duplicates, neardup_stage, op3_neardup
@@ -146,7 +148,19 @@ def test_null_ids_stay_and_empty_tables_pass(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_components_of_long_chains(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5000, 5000)], "a long, b long")
-    got = {r.node: r.component for r in components(links).collect()}
-    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+@pytest.mark.parametrize("bundle", [1_000_000, 40])
+def test_components_of_long_chains(spark, monkeypatch, bundle):
+    """In one bundle, and in several that the star steps join."""
+    plain = components_of.contracted
+
+    def contracted(batches):
+        components_of.BUNDLE = bundle
+        return plain(batches)
+
+    monkeypatch.setattr(components_of, "BUNDLE", bundle)
+    monkeypatch.setattr(components_of, "contracted", contracted)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
+    random.Random(4).shuffle(links)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000, 5000: 5000}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
