@@ -10,11 +10,14 @@ a role - identifier, secret or endpoint. A weak part is reported only if a base
 weak part of another role stands within the same scope: at most ``reach`` code points between
 them. Two weak parts must not overlap (a long path in a URL is no second part), and between them
 ``opaque`` counts only where it is mixed (two at least of lower case, upper case and digits): a
-ruler of one letter is no key. The interval join deals the parts into bins of ``reach`` code
+ruler of one letter is no key.
+
+Texts are scanned once: base spans and weak parts are written, and the joins read those of texts
+that have weak parts and two roles, each distinct text once. Weak parts that touch a base span are told by running
+maxima in the order of starts. The interval join deals parts into bins of ``reach`` code
 points (an interval stands in each bin it touches, a weak part's also one to each side) and
 compares within a bin, so that its work follows the text's length and not the square of a
-document's parts. The SQL below links weak parts with base spans alone; it agrees where no text
-has weak parts that only each other complete, as in the driver's tables.
+document's parts.
 
 Defined cases: a null text counts as empty and has no spans (n_* 0, the digest of "");
 texts of any length are scanned whole; repeated rows each get their spans; an empty table
@@ -23,10 +26,10 @@ gives an empty table; other columns play no part, and their names may be anythin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, stash, table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -83,41 +86,51 @@ def _fit(text: Column, part: Column) -> Column:
     return (part["rank"] != OPAQUE_RANK) | (sorts >= 2)
 
 
-def find_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataFrame:
-    """docs with base_spans and spans, arrays of (start, rank, end) sorted; rank is the place in KINDS."""
-    n_base, n_spans, c_weak, c_key, c_linked = fresh(docs.columns, "base_spans", "spans", "weak_", "key_", "linked_")
-    body = F.coalesce(F.col(text), F.lit(""))
-    each = [places(body, *kind[1:4], rank) for rank, kind in enumerate(KINDS)]
-    base = docs.withColumn(n_base, F.array_sort(F.concat(*each[:BASE])))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    weak = F.concat(*each[BASE:])
-    # a part that lies within a base span is that span, not a second one
-    apart = F.filter(weak, lambda w: ~F.exists(F.col(n_base), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    # only where parts of two roles stand can a weak part have its complement
-    rows = base.withColumn(c_weak, apart)
-    roles = F.array_distinct(F.transform(F.concat(F.col(n_base), F.col(c_weak)), lambda p: _role(p["rank"])))
-    rows = rows.withColumn(c_weak, F.when(F.size(roles) > 1, F.col(c_weak)).otherwise(none))
-    # rows with no such part need no partner: each has a key of its own, so that they spread
-    alone = F.concat(F.lit("r"), F.xxhash64(*[c for c in docs.columns if c == "doc_id"] or [F.col(text)]).cast("string"))
-    rows = rows.withColumn(c_key, F.when(F.size(c_weak) > 0, F.sha2(body, 256)).otherwise(alone))
-    texts = rows.where(F.size(c_weak) > 0).select(F.col(c_key).alias("k"), F.col(n_base).alias("base"), F.transform(c_weak, lambda w: F.struct(w.alias("w"), _fit(body, w).alias("fit"))).alias("weak")).dropDuplicates(["k"])
+def linked_parts(texts: DataFrame, reach: int) -> DataFrame:
+    """(k, linked) of texts (k, base, weak): the weak parts that a part of another role completes within reach."""
+    firm = F.transform("base", lambda b: F.struct(b.alias("s"), F.lit(True).alias("fit"), F.lit(True).alias("is_base")))
+    soft = F.transform("weak", lambda w: F.struct(w["s"].alias("s"), w["fit"].alias("fit"), F.lit(False).alias("is_base")))
+    pieces = texts.select("k", F.explode(F.concat(firm, soft)).alias("p")).select("k", "p.s.*", "p.fit", "p.is_base")
+    # a part that touches a base span is that span, not a second one
+    order = Window.partitionBy("k").orderBy("start")
+    before = F.max(F.when(F.col("is_base"), F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(F.col("is_base"), F.col("start"))).over(order.rangeBetween(1, Window.unboundedFollowing))
+    touched = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
+    apart = stash(pieces.withColumn("touched", touched).where("is_base or not touched").withColumn("role", _role(F.col("rank"))), "parts")
 
     def bins(low: Column, high: Column) -> Column:
         return F.explode(F.sequence(F.floor(low / reach).cast("int"), F.floor(high / reach).cast("int")))
 
-    firm = F.transform("base", lambda b: F.struct(b.alias("s"), F.lit(False).alias("is_weak")))
-    others = F.transform(F.filter("weak", lambda w: w["fit"]), lambda w: F.struct(w["w"].alias("s"), F.lit(True).alias("is_weak")))
-    strong = texts.select("k", F.explode(F.concat(firm, others)).alias("p")).select("k", F.col("p.s.start").alias("b0"), F.col("p.s.end").alias("b1"), _role(F.col("p.s.rank")).alias("b_role"), "p.is_weak")
-    strong = strong.withColumn("bin", bins(F.col("b0"), F.col("b1")))
-    parts = texts.select("k", F.explode("weak").alias("p")).select("k", "p.w", "p.fit").withColumn("bin", bins(F.greatest(F.col("w.start") - reach, F.lit(0)), F.col("w.end") + reach))
+    strong = apart.where("is_base or fit").select("k", F.col("start").alias("b0"), F.col("end").alias("b1"), F.col("role").alias("b_role"), F.col("is_base").alias("b_base"), bins(F.col("start"), F.col("end")).alias("bin"))
+    parts = apart.where("not is_base").withColumn("bin", bins(F.greatest(F.col("start") - reach, F.lit(0)), F.col("end") + reach))
     near = (
-        (parts.k == strong.k) & (parts.bin == strong.bin) & (_role(F.col("w.rank")) != F.col("b_role"))
-        & (F.col("b0") - F.col("w.end") <= reach) & (F.col("w.start") - F.col("b1") <= reach)
-        & (~F.col("is_weak") | (F.col("fit") & ((F.col("b0") >= F.col("w.end")) | (F.col("w.start") >= F.col("b1")))))
+        (parts.k == strong.k) & (parts.bin == strong.bin) & (F.col("role") != F.col("b_role"))
+        & (F.col("b0") - F.col("end") <= reach) & (F.col("start") - F.col("b1") <= reach)
+        & (F.col("b_base") | (F.col("fit") & ((F.col("b0") >= F.col("end")) | (F.col("start") >= F.col("b1")))))
     )
-    linked = parts.join(strong, near, "left_semi").groupBy("k").agg(F.collect_set("w").alias(c_linked)).withColumnRenamed("k", f"{c_key}k")
-    joined = rows.join(linked, F.col(c_key) == F.col(f"{c_key}k"), "left")
-    return joined.select(*docs.columns, n_base, F.array_sort(F.concat(F.col(n_base), F.coalesce(F.col(c_linked), none))).alias(n_spans))
+    return parts.join(strong, near, "left_semi").groupBy("k").agg(F.collect_set(F.struct("start", "rank", "end")).alias("linked"))
+
+
+def find_secrets(docs: DataFrame, text: str = "text", reach: int = 200, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns keep) with base_spans and spans, arrays of (start, rank, end) sorted; rank is the place in KINDS."""
+    keep = docs.columns if keep is None else keep
+    n_base, n_spans, c_weak, c_key = fresh(keep, "base_spans", "spans", "weak_", "key_")
+    body = F.coalesce(F.col(text), F.lit(""))
+    each = [places(body, *kind[1:4], rank) for rank, kind in enumerate(KINDS)]
+    rows = docs.withColumn(n_base, F.array_sort(F.concat(*each[:BASE])))
+    rows = rows.withColumn(c_weak, F.transform(F.concat(*each[BASE:]), lambda w: F.struct(w.alias("s"), _fit(body, w).alias("fit"))))
+    # only where parts of two roles stand can a weak part have its complement
+    roles = F.size(F.array_distinct(F.concat(F.transform(n_base, lambda p: _role(p["rank"])), F.transform(c_weak, lambda p: _role(p["s"]["rank"])))))
+    rows = rows.withColumn(c_key, F.when((F.size(c_weak) > 0) & (roles > 1), F.sha2(body, 256)))
+    rows = stash(rows.select(*keep, n_base, F.when(F.col(c_key).isNotNull(), F.col(c_weak)).alias(c_weak), c_key), "spans")
+
+    asked = rows.where(F.col(c_key).isNotNull())
+    texts = asked.select(F.col(c_key).alias("k"), F.col(n_base).alias("base"), F.col(c_weak).alias("weak")).dropDuplicates(["k"])
+    linked = linked_parts(texts, reach).toDF(f"{c_key}k", f"{c_key}linked")
+    found = asked.join(linked, F.col(c_key) == F.col(f"{c_key}k"), "left")
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    found = found.select(*keep, n_base, F.array_sort(F.concat(F.col(n_base), F.coalesce(F.col(f"{c_key}linked"), none))).alias(n_spans))
+    return rows.where(F.col(c_key).isNull()).select(*keep, n_base, F.col(n_base).alias(n_spans)).union(found)
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
@@ -132,7 +145,7 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     count = lambda rank: F.size(F.filter("base_spans", lambda s: s["rank"] == rank)).cast("long")
     return found.select(
         "doc_id",
@@ -155,22 +168,22 @@ def secrets_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in SQL: places by cutting the text, links by comparing every part with every base span of its document."""
+    """The same in SQL: places by cutting the text, links by comparing every part with every other of its document."""
     quoted = lambda text: "'" + text.replace("'", "''") + "'"
     kinds = "\nUNION ALL\n".join(
-        f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, '{role}' AS role, string_split_regex(t, {quoted(pattern)}) AS g, regexp_extract_all(t, {quoted(pattern)}) AS m, regexp_extract_all(t, {quoted(pattern)}, {group}) AS v, {least} AS least FROM d"""
+        f"""SELECT doc_id, t, {rank} AS rank, '{kind}' AS kind, '{role}' AS role, string_split_regex(t, {quoted(pattern)}) AS g, regexp_extract_all(t, {quoted(pattern)}) AS m, regexp_extract_all(t, {quoted(pattern)}, {group}) AS v, {least} AS least FROM d"""
         for rank, (kind, pattern, group, least, role) in enumerate(KINDS)
     )
+    sorts = " + ".join(f"regexp_matches(own, '[{x}]')::INTEGER" for x in ("a-z", "A-Z", "0-9"))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({kinds}),
 i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0),
-p AS (SELECT doc_id, rank, kind, role, len(m[i]) AS size, len(v[i]) >= least AS ok,
+p AS (SELECT doc_id, rank, kind, role, m[i] AS own, len(m[i]) AS size, len(v[i]) >= least AS ok,
   list_sum(list_transform(g[1:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)::BIGINT AS s FROM i),
-q AS (SELECT doc_id, rank, kind, role, s, s + size AS e FROM p WHERE ok),
-b AS (SELECT * FROM q WHERE rank < {BASE}),
-w AS (SELECT * FROM q WHERE rank >= {BASE} AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = q.doc_id AND b.s < q.e AND q.s < b.e)
-  AND EXISTS (SELECT 1 FROM b WHERE b.doc_id = q.doc_id AND b.role <> q.role AND b.s - q.e <= 200 AND q.s - b.e <= 200)),
-a AS (SELECT * FROM b UNION ALL SELECT * FROM w),
+q AS (SELECT doc_id, rank, kind, role, s, s + size AS e, rank < {BASE} AS base, rank <> {OPAQUE_RANK} OR {sorts} >= 2 AS fit FROM p WHERE ok),
+c AS (SELECT * FROM q WHERE base OR NOT EXISTS (SELECT 1 FROM q b WHERE b.base AND b.doc_id = q.doc_id AND b.s < q.e AND q.s < b.e)),
+a AS (SELECT * FROM c WHERE base OR EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.role <> c.role AND o.s - c.e <= 200 AND c.s - o.e <= 200
+  AND (o.base OR c.fit AND o.fit AND (o.s >= c.e OR c.s >= o.e)))),
 o AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, count(*) FILTER (rank >= {BASE}) AS n3,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < {BASE}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM a GROUP BY 1)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n3, 0) AS n_linked
