@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches, table
+from .common import fresh, give_back, small_batches, table
 
 #: Unicode's White_Space.
 WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -262,18 +262,6 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_CODECS: dict[int, Codec] = {}
-
-
-def _codec(held) -> Codec:
-    """One codec for each broadcast table in a Python worker, so that its cache outlives a task."""
-    key = held.id if hasattr(held, "id") else id(held)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(held.value)
-    return _CODECS[key]
-
-
 ADDED = {
     "n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()),
     "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(),
@@ -290,7 +278,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", add: tuple[str,
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, ADDED[a]) for n, a in zip(names, add))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(held)
+        codec = Codec(held.value)  # the task's own: a worker that goes on to other work keeps nothing of it
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
@@ -312,6 +300,8 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", add: tuple[str,
                     else:
                         columns.append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in plain]))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+        codec = None
+        give_back()
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
@@ -324,7 +314,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     schema = T.StructType([*tokens.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(held)
+        codec = Codec(held.value)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else codec.decode(x) for x in lists], pa.binary())], schema=None, names=[*batch.schema.names, name])

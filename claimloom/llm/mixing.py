@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,69 +85,113 @@ def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int]) -> lis
     return got
 
 
-def mix(
-    docs: DataFrame,
-    size: str,
-    source: str = "source",
-    key: str = "doc_id",
-    weights: Sequence[float] = (1, 2, 3),
-    cap: float = 3.0,
-    block: int = 16,
-    shard_words: int = 1 << 20,
-    seed: int = 20240601,
-) -> DataFrame:
-    """docs with source_size, target and taken. size names a column of word counts. weights repeat over the sources, which stand by code point, null last."""
-    spark = docs.sparkSession
-    n_source, n_target, n_taken, c_src, c_parts, c_shard, c_quota, c_all, c_cum, c_hash = fresh(
-        docs.columns, "source_size", "target", "taken", "src_", "parts_", "shard_", "quota_", "shard_size_", "before_", "hash_"
-    )
-    found = docs.groupBy(F.col(source).alias("s")).agg(F.sum(size).alias("n")).collect()
-    found.sort(key=lambda r: (r.s is None, (r.s or "").encode("utf-8", "surrogatepass")))
+@dataclass(frozen=True)
+class Mix:
+    """weights repeat over the sources, which stand by code point, null last."""
+
+    weights: Sequence[float] = (1, 2, 3)
+    cap: float = 3.0
+    block: int = 16
+    shard_words: int = 1 << 20
+    seed: int = 20240601
+
+
+def recipe_of(rows: DataFrame, m: Mix) -> DataFrame:
+    """(src_, source_size_, target_, blocks_, parts_) of each source of rows (source, size)."""
+    found = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
     sizes = [int(r.n or 0) for r in found]
-    share = [float(weights[i % len(weights)]) for i in range(len(sizes))]
-    goal = targets(sizes, share, cap)
-    blocks = sainte_lague(goal, round(sum(sizes) / block), [int(cap * s) // block for s in sizes])
-    rows = [(r.s, s, g, b, max(1, math.ceil(s / shard_words))) for r, s, g, b in zip(found, sizes, goal, blocks)]
-    recipe = spark.createDataFrame(rows, f"{c_src} string, {n_source} long, {n_target} double, blocks_ long, {c_parts} long")
-    if len(rows) <= BROADCAST_SOURCES:
-        recipe = F.broadcast(recipe)
-    seeded = F.xxhash64(F.lit(seed), F.col(key), F.col(size))
-    dealt = (
-        docs.join(recipe.drop("blocks_"), F.col(source).eqNullSafe(F.col(c_src)))
-        .withColumn(c_hash, seeded)
-        .withColumn(c_shard, F.pmod(F.xxhash64(F.lit(~seed), F.col(c_hash)), F.col(c_parts)))
-    )
-    own = dealt.groupBy(c_src, c_shard).agg(F.sum(size).alias(c_all)).join(recipe.select(F.col(c_src).alias("s_"), "blocks_"), F.col(c_src).eqNullSafe(F.col("s_"))).drop("s_")
-
-    def quotas(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(c_shard)
-        held = [int(x) for x in part[c_all]]
-        part[c_quota] = sainte_lague([float(x) for x in held], int(part["blocks_"].iloc[0]), [int(cap * x) // block for x in held])
-        return part[[c_src, c_shard, c_all, c_quota]]
-
-    quota = own.groupBy(c_src).applyInPandas(quotas, f"{c_src} string, {c_shard} long, {c_all} long, {c_quota} long")
-    quota = quota.select(F.col(c_src).alias("s_"), F.col(c_shard).alias("p_"), c_all, c_quota)
-    before = Window.partitionBy(c_src, c_shard).orderBy(c_hash, F.col(size)).rowsBetween(Window.unboundedPreceding, -1)
-    streamed = dealt.withColumn(c_cum, F.coalesce(F.sum(size).over(before), F.lit(0)))
-    take, whole = F.col(c_quota) * F.lit(block), F.expr(f"({c_quota} * {block}) div greatest({c_all}, 1)")
-    rest = take - whole * F.col(c_all)
-    taken = F.col(size) * whole + F.greatest(F.lit(0), F.least(F.col(size), rest - F.col(c_cum)))
-    return streamed.join(quota, F.col(c_src).eqNullSafe(F.col("s_")) & (F.col(c_shard) == F.col("p_"))).select(
-        *docs.columns, n_source, n_target, taken.cast("long").alias(n_taken)
+    goal = targets(sizes, [float(m.weights[i % len(m.weights)]) for i in range(len(sizes))], m.cap)
+    blocks = sainte_lague(goal, round(sum(sizes) / m.block), [int(m.cap * s) // m.block for s in sizes])
+    out = [(r.source, s, g, b, max(1, math.ceil(s / m.shard_words))) for r, s, g, b in zip(found, sizes, goal, blocks)]
+    recipe = rows.sparkSession.createDataFrame(out, "src_ string, source_size_ long, target_ double, blocks_ long, parts_ long")
+    return F.broadcast(recipe) if len(out) <= BROADCAST_SOURCES else recipe
+
+
+def dealt(rows: DataFrame, recipe: DataFrame, m: Mix, source: str, key: str, size: str) -> DataFrame:
+    """rows with recipe's columns but blocks_, and hash_ and shard_."""
+    seeded = F.xxhash64(F.lit(m.seed), F.col(key), F.col(size))
+    joined = rows.join(recipe.drop("blocks_"), F.col(source).eqNullSafe(F.col("src_"))).withColumn("hash_", seeded)
+    return joined.withColumn("shard_", F.pmod(F.xxhash64(F.lit(~m.seed), F.col("hash_")), F.col("parts_")))
+
+
+def quotas(shards: DataFrame, recipe: DataFrame, m: Mix) -> DataFrame:
+    """(s_, p_, held_, quota_): the blocks of each shard of shards (src_, shard_, size). A task gets the shards of a source, a row for each shard_words words."""
+    own = shards.groupBy("src_", "shard_").agg(F.sum("size").alias("held_")).join(recipe.select(F.col("src_").alias("s_"), "blocks_"), F.col("src_").eqNullSafe(F.col("s_")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources: dict[str | None, list[tuple[int, int, int]]] = {}
+        for batch in batches:
+            for s, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                sources.setdefault(s, []).append(tuple(row))
+        for s, rows in sources.items():
+            rows.sort()
+            held = [h for _, h, _ in rows]
+            got = sainte_lague([float(h) for h in held], rows[0][2], [int(m.cap * h) // m.block for h in held])
+            columns = [s] * len(rows), [p for p, _, _ in rows], held, got
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 3))], names=["s_", "p_", "held_", "quota_"])
+
+    return own.select("src_", "shard_", "held_", "blocks_").repartition("src_").mapInArrow(deal, "s_ string, p_ long, held_ long, quota_ long")
+
+
+def whole(m: Mix) -> Column:
+    """How often a shard is taken from end to end."""
+    return F.expr(f"(quota_ * {m.block}) div greatest(held_, 1)")
+
+
+def mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc_id", m: Mix = Mix()) -> DataFrame:
+    """docs with source_size, target and taken. size names a column of word counts."""
+    names = fresh(docs.columns, "source_size", "target", "taken")
+    narrow = fresh(docs.columns, "src_", "source_size_", "target_", "parts_", "hash_", "shard_", "s_", "p_", "held_", "quota_", "before_")
+    if any(a != b for a, b in zip(narrow, ("src_", "source_size_", "target_", "parts_", "hash_", "shard_", "s_", "p_", "held_", "quota_", "before_"))):
+        aside = [f"column{i}" for i in range(len(docs.columns))]
+        at = {c: a for c, a in zip(docs.columns, aside)}
+        return mix(docs.toDF(*aside), at[size], at[source], at[key], m).toDF(*docs.columns, *names)
+    recipe = recipe_of(docs.select(F.col(source).alias("source"), F.col(size).alias("size")), m)
+    rows = dealt(docs, recipe, m, source, key, size)
+    quota = quotas(rows.select("src_", "shard_", F.col(size).alias("size")), recipe, m)
+    before = Window.partitionBy("src_", "shard_").orderBy("hash_", F.col(size)).rowsBetween(Window.unboundedPreceding, -1)
+    streamed = rows.withColumn("before_", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    rest = F.col("quota_") * F.lit(m.block) - whole(m) * F.col("held_")
+    taken = F.col(size) * whole(m) + F.greatest(F.lit(0), F.least(F.col(size), rest - F.col("before_")))
+    return streamed.join(quota, F.col("src_").eqNullSafe(F.col("s_")) & (F.col("shard_") == F.col("p_"))).select(
+        *docs.columns, F.col("source_size_").alias(names[0]), F.col("target_").alias(names[1]), taken.cast("long").alias(names[2])
     )
 
 
+def copies(rows: DataFrame, m: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
+    """The recipe, and a written table (s_, p_, whole_, cut_): of rows (doc_id, source, size), a written table, those of a shard are
+    taken whole whole_ times, and those up to the hash cut_ once more. Rows of one hash go together."""
+    recipe = recipe_of(rows, m)
+    placed = dealt(rows, recipe, m, "source", "doc_id", "size")
+    quota = quotas(placed.select("src_", "shard_", "size"), recipe, m)
+    alike = placed.groupBy("src_", "shard_", "hash_").agg(F.sum("size").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("src_", "shard_").orderBy("hash_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    streamed = alike.withColumn("before_", before).join(quota, F.col("src_").eqNullSafe(F.col("s_")) & (F.col("shard_") == F.col("p_")))
+    rest = F.col("quota_") * F.lit(m.block) - whole(m) * F.col("held_")
+    cut = F.max(F.when(F.col("before_") + F.col("n") / 2 <= rest, F.col("hash_")))
+    return recipe, stash(streamed.groupBy("s_", "p_").agg(F.max(whole(m)).alias("whole_"), cut.alias("cut_")), "cuts")
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
     return mix(stash(docs, "mixing-sizes"), "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, whole, each as often as it takes them (rounded, three times at most).
+def mixing_stage(spark, docs: DataFrame, sf_dir: str, m: Mix = Mix()) -> DataFrame:
+    """The documents that the mix takes, whole, each as often as it takes them (rounded, three times at most). Texts are not shuffled
+    unless the shards are too many to broadcast.
 
     A document without words takes none of the quota and stays once. Null ids and sources, repeated rows and
     other columns are as in ``mix``; an empty table stays empty."""
-    size, copies = fresh(docs.columns, "size", "copies_")
-    mixed = mix(docs.withColumn(size, words(F.col("text"))), size)
-    times = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.round(F.col(mixed.columns[-1]) / F.col(size))).cast("int")
-    return mixed.withColumn(copies, times).where(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    rows = stash(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "mixing-sizes")
+    recipe, cuts = copies(rows, m)
+    few = cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    aside = [f"column{i}" for i in range(len(docs.columns))]
+    at = {c: a for c, a in zip(docs.columns, aside)}
+    placed = dealt(docs.toDF(*aside).withColumn("size_", words(F.col(at["text"]))), recipe, m, at["source"], at["doc_id"], "size_")
+    joined = placed.join(cuts.hint("broadcast") if few else cuts, F.col("src_").eqNullSafe(F.col("s_")) & (F.col("shard_") == F.col("p_")))
+    more = F.coalesce(F.col("hash_") <= F.col("cut_"), F.lit(False)).cast("int")
+    times = F.when(F.col("size_") == 0, F.lit(1)).otherwise((F.col("whole_") + more).cast("int"))
+    taken = joined.withColumn("times_", times).where("times_ > 0").withColumn("times_", F.explode(F.sequence(F.lit(1), F.col("times_"))))
+    return taken.select(*aside).toDF(*docs.columns)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, by_ids, small_batches, stash, table
+from .common import BROADCAST_IDS, by_ids, give_back, small_batches, stash, table
 from .components import components
 from .shingles import Shingler, signatures
 
@@ -83,6 +83,8 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
                     ],
                     names=["doc_id", "n_shingles", "set_id", "sig"],
                 )
+        shingler = None
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary")
 

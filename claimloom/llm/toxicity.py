@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches, table
+from .common import fresh, give_back, small_batches, table
 
 #: Frequent function words that tell the languages apart.
 FUNCTION_WORDS = {
@@ -45,14 +45,15 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
 VOTES = {w: i for i, words in enumerate(FUNCTION_WORDS.values()) for w in words.split() if sum(w in o.split() for o in FUNCTION_WORDS.values()) == 1}
-TABLES, PAD_WORDS = 4, 2
+#: Tables of embeddings, words of padding, words worked on at once.
+TABLES, PAD_WORDS, CHUNK = 4, 2, 40_000
 
 
 @dataclass(frozen=True)
 class Settings:
     rows: int = 2500  # labelled rows of each label that training reads
     longest: int = 200_000  # bytes of a text that training reads; longer texts are scored, not trained on
-    bytes: int = 16 << 20  # of the sample's texts of each label
+    bytes: int = 12 << 20  # of the sample's texts of each label
     word_bits: int = 18
     stem_bits: int = 16
     width: int = 8
@@ -172,12 +173,21 @@ class Network:
         """Of the mean weighted logistic loss: by name, and for the embeddings the rows touched (n, TABLES) and what each of them gets (n, width)."""
         s, f = self.s, self.s.filters
         pad = np.full((PAD_WORDS + 1, TABLES), s.offsets[-1], np.int32)
-        rows = np.concatenate([x for d in docs for x in (d, pad)])
-        bounds = np.cumsum([0, *(len(d) + len(pad) for d in docs)])
-        x = self.e[rows].sum(1)
-        z = self.conv(x)
-        at = np.stack([a + z[a : b - PAD_WORDS].argmax(0) for a, b in zip(bounds[:-1], bounds[1:])])
-        on = np.maximum(np.take_along_axis(z, at, 0) + self.b, 0)
+        pooled, seen, low = [], [], 0  # maxima of each text, and the rows of the three words from each maximum on
+        while low < len(docs):
+            high, n = low, 0
+            while high < len(docs) and (high == low or n + len(docs[high]) <= CHUNK):
+                n += len(docs[high]) + len(pad)
+                high += 1
+            rows = np.concatenate([x for d in docs[low:high] for x in (d, pad)])
+            bounds = np.cumsum([0, *(len(d) + len(pad) for d in docs[low:high])])
+            z = self.conv(self.e[rows].sum(1))
+            at = np.stack([a + z[a : b - PAD_WORDS].argmax(0) for a, b in zip(bounds[:-1], bounds[1:])])
+            pooled.append(np.take_along_axis(z, at, 0))
+            seen.append(rows[at[:, :, None] + np.arange(3)])
+            low = high
+        seen = np.concatenate(seen)  # (docs, 3 f, 3, TABLES)
+        on = np.maximum(np.concatenate(pooled) + self.b, 0)
         p = 1 / (1 + np.exp(-(on @ self.v + self.c[0])))
         d = ((p - y) * weight / len(docs)).astype(np.float32)
         g = d[:, None] * self.v * (on > 0)
@@ -186,9 +196,9 @@ class Network:
         for size in (1, 2, 3):
             part = slice((size - 1) * f, size * f)
             for j in range(size):
-                place = at[:, part] + j
-                grads["w"][k] = np.einsum("bf,bfd->df", g[:, part], x[place])
-                touched.append(rows[place].reshape(-1, TABLES))
+                rows = seen[:, part, j]
+                grads["w"][k] = np.einsum("bf,bfd->df", g[:, part], self.e[rows].sum(2))
+                touched.append(rows.reshape(-1, TABLES))
                 deltas.append((g[:, part, None] * self.w[k].T[None]).reshape(-1, s.width))
                 k += 1
         return grads, np.concatenate(touched), np.concatenate(deltas)
@@ -235,7 +245,7 @@ class Model:
 class Scorer:
     """Scores texts in a Python worker."""
 
-    def __init__(self, model: Model, chunk: int = 60_000):
+    def __init__(self, model: Model, chunk: int = CHUNK):
         self.model, self.chunk, s = model, chunk, model.net.s
         self.words = Words(s)
         self.embedded = np.zeros((self.words.room + 1, s.width), np.float32)
@@ -378,7 +388,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         got = list(batches)
         column = lambda k: np.concatenate([np.zeros(0, int), *(b.column(k).to_numpy(zero_copy_only=False) for b in got)]).astype(int)
         data = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, TABLES) for b in got for x in b.column(3)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(column(0), column(1), column(2), data, s), 5)], pa.binary())], names=["model"])
+        model = pickle.dumps(trained(column(0), column(1), column(2), data, s), 5)
+        got, data = None, None
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     read = labelled(docs, labels, s).mapInArrow(rows_of, "d long, y int, lang int, rows binary")
     got = read.repartition(1).mapInArrow(learn, "model binary").collect()  # the network alone
@@ -405,6 +418,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names = [*LANGUAGES, None]
                 added = [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array([names[i] for i in langs], pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, n_score, n_predicted, n_lang])
+        model = scorer = None
+        give_back()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(n_score, T.DoubleType()), T.StructField(n_predicted, T.IntegerType()), T.StructField(n_lang, T.StringType())])
     return docs.mapInArrow(run, schema)

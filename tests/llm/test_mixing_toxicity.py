@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.llm.mixing import mix, mixing_stage, op10_mixing, sainte_lague, targets, words
+from claimloom.llm.mixing import Mix, mix, mixing_stage, op10_mixing, sainte_lague, targets, words
 from claimloom.llm.toxicity import LANGUAGES, TABLES, Network, Settings, Words, fit, language, op1_toxicity, score, threshold_of, thresholds, toxicity_stage
 
 PATH = "/root/testdata/sf0.01"
@@ -53,7 +53,7 @@ def test_query_keeps_its_bounds_and_reruns_agree(spark):
 def test_nulls_hot_sources_and_clashing_columns(spark):
     rows = [(i, "w " * (i % 7), "hot" if i % 3 else None, "x") for i in range(300)] + [(None, None, "b", "x"), (5, "a b", "b", "x"), (5, "a b", "b", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target string").withColumn("size", words(F.col("text")))
-    out = mix(docs, "size", shard_words=100)
+    out = mix(docs, "size", m=Mix(shard_words=100))
     assert out.columns == ["doc_id", "text", "source", "target", "size", "source_size", "_target", "taken"]
     got = out.toPandas()
     assert len(got) == len(rows) and (got.taken <= 3 * got["size"]).all()
@@ -65,6 +65,52 @@ def test_nulls_hot_sources_and_clashing_columns(spark):
     assert sorted(stage[stage.text.fillna("").str.strip() == ""].doc_id.fillna(-1)) == [-1, *range(0, 300, 7)]  # no words: once
 
 
+def brute_taken(rows, hashes, m):
+    """What the mix takes of each row (source, size), by one block at a time: rows stand in order of their hashes and shards as the operator deals them."""
+    names = sorted({s for s, _ in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(n for s, n in rows if s == name) for name in names]
+    goal = targets(sizes, [m.weights[i % len(m.weights)] for i in range(len(names))], m.cap)
+    blocks = highest_quotients(goal, min(round(sum(sizes) / m.block), sum(int(m.cap * s) // m.block for s in sizes)), [int(m.cap * s) // m.block for s in sizes])
+    out = [0] * len(rows)
+    for name, size, n in zip(names, sizes, blocks):
+        parts = max(1, -(-size // m.shard_words))
+        shards = {}
+        for i, (s, _) in enumerate(rows):
+            if s == name:
+                shards.setdefault(hashes[i][1] % parts, []).append(i)
+        order = sorted(shards)
+        held = [sum(rows[i][1] for i in shards[p]) for p in order]
+        got = highest_quotients([float(h) for h in held], min(n, sum(int(m.cap * h) // m.block for h in held)), [int(m.cap * h) // m.block for h in held])
+        for p, q in zip(order, got):
+            stream = [i for i in sorted(shards[p], key=lambda i: (hashes[i][0], rows[i][1])) for _ in range(rows[i][1])]
+            for k in range(q * m.block):
+                out[stream[k % len(stream)]] += 1
+    return out
+
+
+def test_taken_matches_one_word_at_a_time(spark):
+    rng, m = np.random.default_rng(6), Mix(block=5, shard_words=400)
+    rows = [(i, ["a", "b", "c", None][min(int(rng.integers(0, 7)), 3)], int(rng.integers(0, 40))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    seeded = docs.withColumn("h", F.xxhash64(F.lit(m.seed), "doc_id", "size")).withColumn("p", F.xxhash64(F.lit(~m.seed), "h"))
+    hashes = {r.doc_id: (r.h, r.p) for r in seeded.collect()}
+    want = brute_taken([(s, n) for _, s, n in rows], [hashes[i] for i, _, _ in rows], m)
+    got = {r.doc_id: r.taken for r in mix(docs, "size", m=m).collect()}
+    assert [got[i] for i, _, _ in rows] == want
+    texts = docs.withColumn("text", F.concat_ws(" ", F.array_repeat(F.lit("w"), F.col("size").cast("int")))).drop("size").withColumn("src_", F.lit(1))
+    stage = mixing_stage(spark, texts, "", m)
+    assert stage.columns == texts.columns
+    times = stage.groupBy("doc_id").count().rdd.collectAsMap()
+    assert [times.get(i, 0) for i, _, _ in rows] == [int(t / n + 0.5) if n else 1 for t, (_, _, n) in zip(want, rows)]
+
+
+def test_ties_go_together_and_reruns_agree(spark):
+    rows = [(7, "a", "one two three")] * 30 + [(i, "b", "x " * (i % 5)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    first, again = (sorted((r.doc_id, r.text) for r in mixing_stage(spark, docs.repartition(n), "").collect()) for n in (1, 5))
+    assert first == again and sum(t == "one two three" for _, t in first) in (0, 30, 60, 90)
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     labels = spark.read.parquet(f"{PATH}/labels.parquet").select("doc_id", "toxic")
