@@ -51,7 +51,7 @@ END, LETTER, DIGIT, OTHER, SPACE, BLANK, QUOTE, SHORT, E, RV, EL = range(11)
 BEGIN, IN_LETTERS, IN_DIGITS, IN_OTHER, AT_SPACE, AT_BLANK, AT_QUOTE, AT_RV, AT_EL, CLIPPED = range(10)
 STATES = 10
 #: Characters worked on at once, and pieces that one generation of the cache holds.
-CHUNK, CACHE = 500_000, 120_000
+CHUNK, CACHE = 500_000, 60_000
 
 
 def _functions() -> np.ndarray:

@@ -33,6 +33,12 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A table of the driver's rows, handed over as Arrow: plain lists would start Python workers on the executors."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

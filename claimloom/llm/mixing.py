@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, stash, table
+from .common import WORD, fresh, local, stash, table
 
 #: The recipe is broadcast up to so many sources, else joined by a shuffle.
 BROADCAST_SOURCES = 50_000
@@ -104,7 +104,7 @@ def recipe_of(rows: DataFrame, m: Mix) -> DataFrame:
     goal = targets(sizes, [float(m.weights[i % len(m.weights)]) for i in range(len(sizes))], m.cap)
     blocks = sainte_lague(goal, round(sum(sizes) / m.block), [int(m.cap * s) // m.block for s in sizes])
     out = [(r.source, s, g, b, max(1, math.ceil(s / m.shard_words))) for r, s, g, b in zip(found, sizes, goal, blocks)]
-    recipe = rows.sparkSession.createDataFrame(out, "src_ string, source_size_ long, target_ double, blocks_ long, parts_ long")
+    recipe = local(rows.sparkSession, out, pa.schema([("src_", pa.string()), ("source_size_", pa.int64()), ("target_", pa.float64()), ("blocks_", pa.int64()), ("parts_", pa.int64())]))
     return F.broadcast(recipe) if len(out) <= BROADCAST_SOURCES else recipe
 
 

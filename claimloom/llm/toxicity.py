@@ -74,7 +74,7 @@ class Settings:
 class Words:
     """Tokens to slots; a slot has the token's four rows and its language's vote. Starts anew when full."""
 
-    def __init__(self, settings: Settings, room: int = 120_000):
+    def __init__(self, settings: Settings, room: int = 60_000):
         self.s, self.room, self.slot = settings, room, {}
         self.rows = np.full((room + 1, TABLES), settings.offsets[-1], np.int32)
         self.vote = np.full(room + 1, len(LANGUAGES), np.uint8)

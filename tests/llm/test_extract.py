@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from claimloom.llm.extract import LABELLED, chosen, extract, main_text, op6_extract, read_blocks, tree
+from claimloom.llm.extract import FEATURES, chosen, extract, labelled, main_text, op6_extract, read_blocks, tree
 
 
 def brute(page):
@@ -13,9 +13,59 @@ def brute(page):
     return "\n".join(b for b in blocks if b)
 
 
+def accuracy(pages):
+    hits = [c == (m == "+") for page, marks in pages for c, m in zip(chosen(read_blocks(page)[1], tree()), marks, strict=True)]
+    return sum(hits) / len(hits)
+
+
 def test_the_tree_fits_its_table():
-    for page, marks in LABELLED:
-        assert "".join("-+"[int(c)] for c in chosen(read_blocks(page)[1], tree())) == marks, page
+    assert accuracy(labelled()) >= 0.98
+    assert accuracy(labelled(150, seed=901)) >= 0.97  # pages of the same pieces, put together anew
+
+
+def test_the_tree_reads_link_densities_and_neighbours():
+    def asked(node):
+        return {FEATURES[node[0]]} | asked(node[2]) | asked(node[3]) if len(node) > 1 else set()
+
+    used = asked(tree())
+    assert used & {"links", "links_before", "links_after"} and "words" in used
+    assert len(used & {"words_before", "words_after", "links_before", "links_after"}) >= 2
+
+
+PROSE = (
+    "The council met on Tuesday to talk about the bridge, which has been closed to lorries since the spring and will stay so until the money is found.",
+    "Nobody in the room thought that it would be quick, and the engineer, who had come from the county town, said that two winters were the least they should expect.",
+    "When the vote was taken in the end, nine were for the repair and four against.",
+)
+#: Marked by hand, apart from the operator's table; a mark for each block.
+HELD_OUT = (
+    (f"<body><div id=top><a href=/>The Courier</a></div><div><a href=/n>News</a> <a href=/s>Sport</a> <a href=/w>Weather</a></div><div id=story><h1>Bridge stays shut</h1><p>{PROSE[0]}</p><p>{PROSE[1]}</p><p>It is hoped.</p><p>{PROSE[2]}</p></div><div id=foot>Courier Ltd, 2 High Street</div></body>", "--+++++-"),
+    (f"<table><tr><td><a href=/a>Start</a><td><a href=/b>Archive</a></table><h1>On bridges</h1><p>{PROSE[1]}<p>{PROSE[0]}<p>{PROSE[2]}<hr><p><a href=mailto:x>Write to us</a>", "--++++-"),
+    (f"<article><h1>Bridge</h1><p>{PROSE[0]}</p><ul class=links-out><li><a href=/1>The bridge in pictures</a></li><li><a href=/2>How it was built</a></li><li><a href=/3>All on the bridge</a></li></ul><p>{PROSE[1]}</p></article>", "++---+"),
+    (f"<main><h2>Minutes</h2><p>{PROSE[2]}</p><div class=letter><p>Have the minutes sent to you.</p><input name=mail><button>Send</button></div><p>{PROSE[0]}</p></main><footer>Clerk</footer>", "++-+-"),
+    (f"<div class=sidebar-left><p>{PROSE[0]}</p></div><article><section class='menu of the day'><p>Soup.</p><p>{PROSE[2]}</p></section></article>", None),
+    (f"<article><p>{PROSE[0]}</p><p>No.</p><p><a href=/v>See how they voted</a></p><p>{PROSE[1]}</p></article><div class=comments><p>{PROSE[2]}</p></div>", "++++-"),
+    (f"<header><h1>Courier</h1></header><nav><a href=/>a</a></nav><div><div><div><h1>Long story</h1><p>{PROSE[0]} {PROSE[1]}</p></div><div><p>{PROSE[1]}</p><blockquote>{PROSE[2]}</blockquote><p>{PROSE[0]}</p></div></div></div><div class=related><a href=/r>More</a></div>", "--+++++-"),
+    (f"<article><h1>Nine to four</h1><p>{PROSE[2]}</p><aside><p>{PROSE[1]}</p></aside><div class=advert><p>{PROSE[0]}</p></div><p>End.</p></article>", "++--+"),
+    (f"<div role=main><h1>Rain</h1><p>{PROSE[0]}</p><p>So far.</p></div><div><a href=/1>One</a></div><div><a href=/2>Two</a></div>", "+++--"),
+    (f"<div class=cookie-bar>{PROSE[1]}</div><div><h1>Ferry</h1><p>{PROSE[0]}</p><p>{PROSE[2]}</p></div><div>Terms <a href=/t>here</a></div>", "-+++-"),
+)
+
+
+def test_held_out_pages():
+    assert accuracy([(page, marks) for page, marks in HELD_OUT if marks]) >= 0.9
+
+
+def test_names_alone_do_not_drop_prose():
+    page = f'<article><section class="side effects"><p>{PROSE[0]}</p></section><p class=notice>{PROSE[2]}</p></article>'
+    assert main_text(page) == f"{PROSE[0]}\n{PROSE[2]}"
+    page = f"<div>Log in</div><div><p>{PROSE[0]}</p><p>Short one.</p><p>{PROSE[1]}</p></div>"
+    assert main_text(page) == f"{PROSE[0]}\nShort one.\n{PROSE[1]}"
+
+
+def test_a_very_long_page():
+    body = "".join(f"<p>{PROSE[k % 3]} {k}</p>" for k in range(20_000))
+    assert main_text(f"<nav><a href=/>a</a></nav><article>{body}</article>") == "\n".join(f"{PROSE[k % 3]} {k}" for k in range(20_000))
 
 
 @pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
