@@ -1,135 +1,193 @@
 """LM scoring by masked pseudo-likelihood.
 
-A token's probability given its neighbours on both sides is P(class | window) times
-P(token | class). Tokens are white-space words, hashed into buckets; bucket counts over the
-whole corpus make the classes (the most frequent buckets alone, the others in bands of like
-mass) and P(token | class). P(class | window) is a network trained in numpy: the two tokens to
-the left and the two to the right each have a row of their position's table, the sum goes
-through tanh, a linear layer and softmax. The masked token itself is never an input.
-
-Training is spread over the corpus and takes every window: in each of ``Settings.rounds`` rounds
-every task runs gradient descent from the common weights on every ``Settings.stride``-th window of
-each of its texts, from another place in each round, and the tasks' weights are averaged by
-windows, in a tree of two levels. There are at least as many rounds as places. The driver holds counts and weights, both of fixed size.
+Tokens are white-space words, lower-cased, named by a 32-bit hash. Exact counts over all documents (a
+distributed aggregation) give the vocabulary: the ``Lexicon.own`` most frequent tokens are leaves of
+their own, and the others share leaves by hash, ``own / 4`` of them; both numbers grow with the
+square root of the number of distinct tokens, up to ``Settings.most``. A Huffman tree over the leaves
+makes P(leaf) a product of binary decisions, each a logistic regression on the hidden layer of a
+network trained in numpy: the two tokens to the left and the two to the right each have a row of their
+position's table, and their sum goes through tanh. The masked token itself is never an input.
+Every decision down to the leaf depends on the context; within a shared leaf the distinct tokens that
+share it are alike. Before training, the decisions' biases give exactly the leaves' counts.
+
+Training is spread over the corpus and takes every window once. Documents are dealt by hash into
+shards of about ``Settings.shard`` bytes and sorted, so that the outcome does not depend on how the input is
+partitioned; shards are dealt into ``Settings.rounds`` rounds. In a round every shard runs gradient descent from
+the common weights, and what its rows moved by is averaged, weighed by how often each shard met them, in a tree of two levels. The
+driver holds the leaves' counts and the weights, bounded by ``most``.
 
 A document's score is the sum of its tokens' conditional log-probabilities; mean is that by token.
 
 Defined cases: a null or empty text has 0 tokens, sum 0 and a null mean; at its ends a window
 has a row for nothing; texts of any length are read whole; repeated rows are scored alike (and
-each is trained on); an empty table gives an empty table; other columns pass through, added
-names that clash get a leading underscore. The weights depend on how the input is partitioned.
+each is trained on); rows alike in every column stand in one shard; an empty table gives an empty table; other columns pass through, added
+names that clash get a leading underscore.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches, table
+from .common import fresh, give_back, small_batches, stash, table
 
 OFFSETS = (-2, -1, 1, 2)
 #: Rows of weights in a piece that travels on its own.
-PIECE = 4096
+PIECE = 1024
+#: Beyond so many, shards grow instead.
+MOST_SHARDS = 20_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    bits: int = 17  # of the buckets
-    known: int = 4096  # most frequent buckets with a row of their own
-    shared: int = 1024  # rows that the others share
-    alone: int = 48  # most frequent buckets that are a class each
-    bands: int = 16  # classes of the others
-    width: int = 16
-    stride: int = 2  # at most rounds, so that no window is left out
-    rounds: int = 2
-    rate: float = 0.2
-    batch: int = 2048
-
-    @property
-    def rows(self) -> int:
-        return self.known + self.shared + 1
-
-    @property
-    def classes(self) -> int:
-        return self.alone + self.bands
+    most: int = 1 << 17  # leaves of tokens of their own, at most
+    width: int = 8
+    rounds: int = 3
+    rate: float = 0.05
+    batch: int = 4096
+    shard: int = 6_000_000  # bytes of text
+
+    def own(self, distinct: int) -> int:
+        """Leaves of their own for so many distinct tokens."""
+        return min(self.most, 1 << max(4, math.ceil(math.log2(8 * math.sqrt(max(distinct, 1))))))
 
 
 class Lexicon:
-    """What the counts make of each bucket: its row, its class and its log-probability in the class."""
-
-    def __init__(self, counts: np.ndarray, s: Settings):
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(counts), np.int64)
-        rank[order] = np.arange(len(counts))
-        self.row = np.where(rank < s.known, rank, s.known + np.arange(len(counts)) % s.shared).astype(np.int32)
-        rest = counts[order[s.alone :]].astype(float) + 1
-        band = np.minimum((np.cumsum(rest) - rest) * s.bands / rest.sum(), s.bands - 1).astype(np.int64)
-        kind = np.empty(len(counts), np.int64)
-        kind[order[: s.alone]] = np.arange(s.alone)
-        kind[order[s.alone :]] = s.alone + band
-        mass = np.bincount(kind, weights=counts + 1.0, minlength=s.classes)
-        self.kind = kind.astype(np.int32)
-        self.inside = np.log((counts + 1.0) / mass[kind]).astype(np.float32)
-        self.prior = np.log(np.maximum(mass, 1) / mass.sum()).astype(np.float32)
+    """The leaves, and the path of each in the tree."""
+
+    def __init__(self, own: np.ndarray, counts: np.ndarray, shared: np.ndarray, distinct: np.ndarray):
+        """own: sorted hashes of leaves of their own, and their counts; shared, distinct: tokens and distinct tokens of each shared leaf."""
+        self.own, self.shared = own, len(shared)
+        mass = np.concatenate([counts, shared]).astype(float)
+        self.leaves = len(mass)
+        self.alike = np.concatenate([np.zeros(len(own)), -np.log(np.maximum(distinct, 1))])  # log-probability within a leaf
+        heap = [(m, i) for i, m in enumerate(np.maximum(mass, 0.5).tolist())]  # an empty leaf counts as half a token
+        heapq.heapify(heap)
+        up, side, bias, n = np.zeros(2 * self.leaves, np.int64), np.zeros(2 * self.leaves, np.float32), [], self.leaves
+        while len(heap) > 1:
+            (m0, a), (m1, b) = heapq.heappop(heap), heapq.heappop(heap)
+            up[a] = up[b] = n
+            side[b] = 1
+            bias.append(math.log(m1 / m0))
+            heapq.heappush(heap, (m0 + m1, n))
+            n += 1
+        self.bias = np.array(bias, np.float32)  # of each inner node: log-odds of its second child
+        nodes, bits, at, leaf = [], [], np.arange(self.leaves), np.arange(self.leaves)
+        while len(at) and n > self.leaves:
+            at_bit, at = side[at], up[at]
+            nodes.append((leaf, at - self.leaves, at_bit))
+            leaf, at = leaf[at < n - 1], at[at < n - 1]
+        order = np.concatenate([x for x, _, _ in nodes]) if nodes else np.zeros(0, int)
+        by = np.argsort(order, kind="stable")
+        self.nodes = np.concatenate([x for _, x, _ in nodes])[by].astype(np.int32) if nodes else np.zeros(0, np.int32)
+        self.bits = np.concatenate([x for _, _, x in nodes])[by] if nodes else np.zeros(0, np.float32)
+        self.long = np.bincount(order, minlength=self.leaves)
+        self.first = np.cumsum(self.long) - self.long
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Leaves of tokens; a token never counted stands in a shared leaf."""
+        at = np.searchsorted(self.own, hashes)
+        at[at == len(self.own)] = 0
+        return np.where(self.own[at] == hashes, at, len(self.own) + hashes % self.shared).astype(np.int64)
+
+    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Inner nodes on the ways to leaves, the sides taken, whose way each is, and where each way begins."""
+        long = self.long[leaves]
+        start = np.cumsum(long) - long
+        whose = np.repeat(np.arange(len(leaves)), long)
+        at = np.arange(len(whose)) + (self.first[leaves] - start)[whose]
+        return self.nodes[at], self.bits[at], whose, start
 
 
 class Network:
-    def __init__(self, s: Settings, prior: np.ndarray, seed: int = 9):
+    """One matrix of rows (width, bias): a table for each position, the inner nodes, the hidden layer's bias."""
+
+    def __init__(self, s: Settings, words: Lexicon, rows: np.ndarray | None = None, seed: int = 9):
         rng = np.random.default_rng(seed)
-        self.s = s
-        self.e = rng.normal(0, 0.1, (len(OFFSETS), s.rows, s.width)).astype(np.float32)
-        self.b = np.zeros(s.width, np.float32)
-        self.u = rng.normal(0, 0.1, (s.width, s.classes)).astype(np.float32)
-        self.c = prior.copy()
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.e, self.b, self.u, self.c)])
-
-    def load(self, flat: np.ndarray) -> "Network":
-        at = 0
-        for x in (self.e, self.b, self.u, self.c):
-            x[...] = flat[at : at + x.size].reshape(x.shape)
-            at += x.size
-        return self
-
-    def log_p(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities of classes, and the hidden layer; windows (n, 4) of rows."""
-        h = self.b + sum(self.e[k][windows[:, k]] for k in range(len(OFFSETS)))
-        np.tanh(h, out=h)
-        z = h @ self.u + self.c
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True)), h
-
-    def step(self, windows: np.ndarray, kinds: np.ndarray) -> None:
-        log_p, h = self.log_p(windows)
-        d = np.exp(log_p)
-        d[np.arange(len(kinds)), kinds] -= 1
-        rate = self.s.rate
-        d_h = (d @ self.u.T) * (1 - h**2)
-        self.u -= rate / len(kinds) * (h.T @ d)
-        self.c -= rate / len(kinds) * d.sum(0)
-        self.b -= rate / len(kinds) * d_h.sum(0)
-        for k in range(len(OFFSETS)):  # a row moves by the mean of its own windows: rare rows learn as fast as frequent ones
-            order = np.argsort(windows[:, k], kind="stable")
-            rows, first, n = np.unique(windows[order, k], return_index=True, return_counts=True)
-            self.e[k][rows] -= rate * np.add.reduceat(d_h[order], first, axis=0) / np.sqrt(n)[:, None] / np.sqrt(len(kinds))
+        self.s, self.words = s, words
+        self.table = words.leaves + 1  # the last row is for nothing
+        self.node = len(OFFSETS) * self.table
+        if rows is not None:
+            self.rows = rows
+            return
+        self.rows = np.zeros((self.node + len(words.bias) + 1, s.width + 1), np.float32)
+        self.rows[: self.node, :-1] = rng.normal(0, 0.1, (self.node, s.width))
+        self.rows[self.node : -1, -1] = words.bias
+
+    def hidden(self, places: np.ndarray) -> np.ndarray:
+        """places: (windows, positions) of rows."""
+        h = self.rows[-1, :-1] + sum(self.rows[places[:, k], :-1] for k in range(len(OFFSETS)))
+        return np.tanh(h, out=h)
+
+    def log_p(self, places: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Log-probability of each leaf."""
+        if not len(self.words.bias):
+            return np.zeros(len(leaves))
+        h = self.hidden(places)
+        nodes, bits, whose, start = self.words.paths(leaves)
+        own = self.rows[self.node + nodes]
+        z = np.einsum("ij,ij->i", own[:, :-1], h[whose]) + own[:, -1]
+        p = 1 / (1 + np.exp(np.clip(z * (2 * bits - 1), -16, 16).astype(np.float64) * -1))
+        return np.log(np.multiply.reduceat(p, start))
+
+    def gradients(self, places: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows touched, how often, and the sums of their gradients of the negative log-probability."""
+        h = self.hidden(places)
+        nodes, bits, whose, start = self.words.paths(leaves)
+        own, h_own = self.rows[self.node + nodes], h[whose]
+        z = np.einsum("ij,ij->i", own[:, :-1], h_own) + own[:, -1]
+        wrong = 1 / (1 + np.exp(-np.clip(z, -16, 16))) - bits
+        d_h = np.add.reduceat(wrong[:, None] * own[:, :-1], start) * (1 - h * h)
+        often = np.bincount(nodes, minlength=len(self.words.bias))
+        met = np.flatnonzero(often)
+        columns = [np.bincount(nodes, weights=wrong * h_own[:, d], minlength=len(often))[met] for d in range(h.shape[1])]
+        columns.append(np.bincount(nodes, weights=wrong, minlength=len(often))[met])
+        rows, counts, sums = [self.node + met], [often[met]], [np.column_stack(columns)]
+        nothing = np.zeros((len(leaves), 1), np.float32)
+        full = np.concatenate([d_h, nothing], 1)
+        for k in range(len(OFFSETS)):
+            order = np.argsort(places[:, k], kind="stable")
+            met, first, n = np.unique(places[order, k], return_index=True, return_counts=True)
+            rows.append(met), counts.append(n), sums.append(np.add.reduceat(full[order], first, axis=0))
+        rows.append([len(self.rows) - 1]), counts.append([len(leaves)]), sums.append(full.sum(0, keepdims=True))
+        return np.concatenate(rows), np.concatenate(counts), np.concatenate(sums)
+
+    def step(self, places: np.ndarray, leaves: np.ndarray, often: np.ndarray) -> None:
+        """A row moves by its gradients' sum over the root of their number: rare rows learn as fast as frequent ones."""
+        rows, n, sums = self.gradients(places, leaves)
+        self.rows[rows] -= (self.s.rate / np.sqrt(n))[:, None] * sums
+        often[rows] += n
+
+
+def cut(leaves: np.ndarray, table: int, chunk: int = 8192) -> Iterator[np.ndarray]:
+    """A text's leaves in parts, each with two more on either side; the last row of a table stands for nothing."""
+    padded = np.concatenate([[table - 1] * 2, leaves, [table - 1] * 2])
+    for low in range(0, len(leaves), chunk):
+        yield padded[low : low + chunk + 4]
+
+
+def places_of(parts: list[np.ndarray], table: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the parts' windows (tokens, positions), and their leaves."""
+    places = np.concatenate([np.column_stack([x[2 + o : len(x) - 2 + o] + k * table for k, o in enumerate(OFFSETS)]) for x in parts])
+    return places, np.concatenate([x[2:-2] for x in parts])
 
 
 class Reader:
-    """Texts to buckets; known tokens stay in a table that starts anew when full."""
+    """Texts to hashes of tokens; known tokens stay in a table that starts anew when full."""
 
-    def __init__(self, s: Settings, room: int = 300_000):
-        self.mask, self.room, self.known = (1 << s.bits) - 1, room, {}
+    def __init__(self, room: int = 100_000):
+        self.room, self.known = room, {}
 
-    def buckets(self, text: str | None) -> np.ndarray:
+    def hashes(self, text: str | None) -> np.ndarray:
         tokens = text.lower().split() if text else []
         found = list(map(self.known.get, tokens))
         if None in found:
@@ -137,115 +195,202 @@ class Reader:
                 self.known.clear()
             for i, x in enumerate(found):
                 if x is None:
-                    found[i] = self.known[tokens[i]] = zlib.crc32(tokens[i].encode("utf-8", "surrogatepass")) & self.mask
-        return np.array(found, np.int64)
+                    found[i] = self.known[tokens[i]] = zlib.crc32(tokens[i].encode("utf-8", "surrogatepass"))
+        return np.array(found, np.uint32)
+
+
+def read_tokens(docs: DataFrame, text: str, keep: list[str], s: Settings) -> tuple[DataFrame, list[str]]:
+    """docs (its columns keep) with names: tokens, shard and round, as a written table; a shard's rows stand together, in an order of their own."""
+    names = fresh(keep, "tokens_", "shard_", "order_", "round_")
+    n_tokens, n_shard, n_order, n_round = names
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = min(MOST_SHARDS, max(s.rounds, math.ceil(size / s.shard)))
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(n_tokens, T.BinaryType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                read = [reader.hashes(t).tobytes() for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(read, pa.binary())], names=[*keep, n_tokens])
+        reader = None
+        give_back()
 
-def windows_of(rows: np.ndarray, nothing: int) -> np.ndarray:
-    padded = np.concatenate([[nothing] * 2, rows, [nothing] * 2]).astype(np.int32)
-    return np.column_stack([padded[2 + o : 2 + o + len(rows)] for o in OFFSETS])
+    plain = [f.name for f in docs.select(*keep).schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    rows = docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    order = F.xxhash64(n_tokens, *plain)
+    rows = rows.withColumn(n_order, order).withColumn(n_shard, F.pmod(F.xxhash64(n_order), F.lit(shards)).cast("int")).withColumn(n_round, F.col(n_shard) % s.rounds)
+    return stash(rows.repartition(shards, n_shard).sortWithinPartitions(n_shard, n_order), "tokens"), names
 
 
-def count(docs: DataFrame, text: str, s: Settings) -> np.ndarray:
-    """Counts of the buckets over all documents."""
+def lexicon_of(rows: DataFrame, tokens: str, s: Settings) -> Lexicon:
+    """The vocabulary, by exact counts over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = Reader(s), np.zeros(1 << s.bits, np.int64)
+        held, n = [], 0
+
+        def counted() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(times.astype(np.int64))], names=["token", "n"])
+
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                b = reader.buckets(t)
-                if len(b):
-                    np.add.at(total, b, 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
-
-    rows = docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2 ** bits rows at most
-    out = np.zeros(1 << s.bits, np.int64)
-    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return out
-
-
-def train(docs: DataFrame, text: str, s: Settings, lexicon: Lexicon) -> Network:
-    if s.stride > s.rounds:
-        raise ValueError("stride beyond rounds would leave windows out")
-    spark = docs.sparkSession
-    net = Network(s, lexicon.prior)
-    held_lexicon = spark.sparkContext.broadcast(lexicon)
+            for x in batch.column(0).to_pylist():
+                held.append(np.frombuffer(x, np.uint32))
+                n += len(held[-1])
+                if n > 2_000_000:
+                    yield counted()
+                    held, n = [], 0
+        if n:
+            yield counted()
+
+    counts = stash(rows.select(tokens).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    own = s.own(counts.count())
+    shared = own // 4
+    top = counts.orderBy(F.desc("n"), "token").limit(own).toArrow()
+    hashes, n = top.column("token").to_numpy(), top.column("n").to_numpy()
+    order = np.argsort(hashes)
+    hashes, n = hashes[order].astype(np.uint32), n[order]
+    rest = counts.groupBy((F.col("token") % shared).alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).toArrow()  # shared rows
+    mass, distinct, leaf = np.zeros(shared), np.zeros(shared), rest.column("leaf").to_numpy()
+    mass[leaf], distinct[leaf] = rest.column("n").to_numpy(), rest.column("d").to_numpy()
+    at = (hashes % shared).astype(np.int64)
+    mass -= np.bincount(at, weights=n, minlength=shared)
+    distinct -= np.bincount(at, minlength=shared)
+    if not len(hashes):
+        hashes, n = np.zeros(1, np.uint32), np.zeros(1)
+    return Lexicon(hashes, n, mass, distinct)
+
+
+def train(rows: DataFrame, names: list[str], s: Settings, words: Lexicon) -> Network:
+    spark, net = rows.sparkSession, Network(s, words)
+    tokens, shard, _, turn = names
+    held_words = spark.sparkContext.broadcast(words)
+    shards = int(rows.agg(F.max(shard)).first()[0] or 0) + 1
+    salts = math.ceil(math.sqrt(shards))
+    size = s.width + 1
     for r in range(s.rounds):
-        held = spark.sparkContext.broadcast(net.flat())
+        held = spark.sparkContext.broadcast(net.rows)
+
+        def learn(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            common, now, own, often, waiting, n = held.value, None, None, None, [], 0
+
+            def flush(least: int) -> None:
+                nonlocal waiting, n
+                if n and n >= least:
+                    places, leaves = places_of(waiting, own.table)
+                    for low in range(0, len(leaves), s.batch):
+                        own.step(places[low : low + s.batch], leaves[low : low + s.batch], often)
+                    waiting, n = [], 0
+
+            def moved() -> Iterator[pa.RecordBatch]:
+                flush(1)
+                some = np.flatnonzero(often)
+                if not len(some):
+                    return
+                cuts = np.flatnonzero(np.diff(some // PIECE)) + 1
+                parts = np.split(some, cuts)
+                delta = [((own.rows[x].astype(np.float64) - common[x]) * often[x][:, None]).astype(np.float32).tobytes() for x in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(x[0]) // PIECE for x in parts], pa.int32()), pa.array([now] * len(parts), pa.int32()),
+                        pa.array([(x % PIECE).astype(np.int16).tobytes() for x in parts], pa.binary()), pa.array([often[x].astype(np.float64).tobytes() for x in parts], pa.binary()), pa.array(delta, pa.binary()),
+                    ],
+                    names=["piece", "shard", "at", "n", "d"],
+                )
 
-        def run(batches: Iterator[pa.RecordBatch], r: int = r, held=held) -> Iterator[pa.RecordBatch]:
-            words, reader = held_lexicon.value, Reader(s)
-            own = Network(s, words.prior).load(held.value)
-            windows, kinds, waiting, done, mark = [], [], 0, 0, 0
             for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    b = reader.buckets(t)
-                    pick = np.arange(r % s.stride, len(b), s.stride)  # by place in the text alone: the order of rows may differ between rounds
-                    mark ^= len(b)
-                    if not len(pick):
-                        continue
-                    windows.append(windows_of(words.row[b], s.rows - 1)[pick])
-                    kinds.append(words.kind[b[pick]])
-                    waiting += len(pick)
-                    if waiting >= s.batch:
-                        w, k = np.concatenate(windows), np.concatenate(kinds)
-                        for low in range(0, len(w), s.batch):
-                            own.step(w[low : low + s.batch], k[low : low + s.batch])
-                        windows, kinds, waiting, done = [], [], 0, done + len(w)
-            if waiting:
-                own.step(np.concatenate(windows), np.concatenate(kinds))
-                done += waiting
-            if done:
-                flat = own.flat() * np.float32(done)
-                parts = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([mark % 64] * n, pa.int32()), pa.array([float(done)] * n), pa.array(parts, pa.binary())], names=["piece", "salt", "n", "w"])
-
-        def add(part: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(w, np.float32).astype(np.float64) for w in part["w"])
-            return pd.DataFrame({"piece": part["piece"].iloc[:1], "salt": part["salt"].iloc[:1], "n": [part["n"].sum()], "w": [total.astype(np.float32).tobytes()]})
-
-        kind = "piece int, salt int, n double, w binary"
-        sums = docs.select(text).mapInArrow(run, kind).groupBy("piece", "salt").applyInPandas(add, kind).groupBy("piece").applyInPandas(add, kind)
-        rows = sums.orderBy("piece").collect()  # the weights, once
-        if rows:
-            net.load(np.concatenate([np.frombuffer(x["w"], np.float32) / np.float32(x["n"]) for x in rows]))
+                for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if k != now:
+                        if now is not None:
+                            yield from moved()
+                        now, own = k, Network(s, held_words.value, common.copy())
+                        often = np.zeros(len(common), np.int64)
+                    for part in cut(held_words.value.ids(np.frombuffer(x, np.uint32)), own.table):
+                        waiting.append(part)
+                        n += len(part) - 4
+                        flush(s.batch)
+            if now is not None:
+                yield from moved()
+            own = common = None
+            give_back()
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Sums of each (piece, shard), from rows sorted so."""
+            last, n, d = None, None, None
+            for batch in batches:
+                for key, at, own_n, own_d in zip(zip(*(batch.column(c).to_pylist() for c in (0, 1))), *(batch.column(c).to_pylist() for c in (3, 4, 5))):
+                    if key != last:
+                        if last is not None:
+                            yield summed(last, n, d)
+                        last, n, d = key, np.zeros(PIECE), np.zeros((PIECE, size))
+                    at = np.frombuffer(at, np.int16)
+                    n[at] += np.frombuffer(own_n, np.float64)
+                    d[at] += np.frombuffer(own_d, np.float32).reshape(-1, size)
+            if last is not None:
+                yield summed(last, n, d)
+
+        def summed(key: tuple[int, int], n: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(n)
+            columns = [key[0]], [key[1]], [at.astype(np.int16).tobytes()], [n[at].tobytes()], [d[at].astype(np.float32).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 3))], names=["piece", "shard", "at", "n", "d"])
+
+        kind = "piece int, shard int, at binary, n binary, d binary"
+        order = ["piece", "salt", "shard", "at", "n", "d"]
+        moves = rows.where(F.col(turn) == r).select(shard, tokens).mapInArrow(learn, kind).withColumn("salt", F.col("shard") % salts).select(*order)
+        first = moves.repartition("piece", "salt").sortWithinPartitions("piece", "salt", "shard").mapInArrow(add, kind).withColumn("salt", F.lit(0)).select(*order)
+        second = first.repartition("piece").sortWithinPartitions("piece", "salt", "shard").mapInArrow(add, kind)
+        for x in second.toArrow().to_pylist():  # the weights, once
+            at = np.frombuffer(x["at"], np.int16).astype(np.int64) + x["piece"] * PIECE
+            net.rows[at] += (np.frombuffer(x["d"], np.float32).reshape(-1, size) / np.frombuffer(x["n"], np.float64)[:, None]).astype(np.float32)
     return net
 
 
-def log_likelihoods(net: Network, lexicon: Lexicon, buckets: np.ndarray, chunk: int = 8192) -> np.ndarray:
-    """Conditional log-probability of each token."""
-    out = np.empty(len(buckets), np.float64)
-    windows, kinds = windows_of(lexicon.row[buckets], net.s.rows - 1), lexicon.kind[buckets]
-    for low in range(0, len(buckets), chunk):
-        log_p, _ = net.log_p(windows[low : low + chunk])
-        out[low : low + chunk] = log_p[np.arange(len(log_p)), kinds[low : low + chunk]]
-    return out + lexicon.inside[buckets]
+def log_likelihoods(net: Network, texts: list[np.ndarray], chunk: int = 8192) -> list[np.ndarray]:
+    """Conditional log-probability of each token of each text's hashes."""
+    leaves = [net.words.ids(x) for x in texts]
+    out, waiting, n = [np.zeros(0)], [], 0
+
+    def flush() -> None:
+        nonlocal waiting, n
+        if n:
+            out.append(net.log_p(*places_of(waiting, net.table)))
+            waiting, n = [], 0
+
+    for x in leaves:
+        for part in cut(x, net.table, chunk):
+            if n + len(part) - 4 > chunk:
+                flush()
+            waiting.append(part)
+            n += len(part) - 4
+    flush()
+    each = np.split(np.concatenate(out), np.cumsum([len(x) for x in leaves])[:-1])
+    return [p + net.words.alike[x] for p, x in zip(each, leaves)]
 
 
 def score(docs: DataFrame, text: str = "text", s: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) with n_tokens, log_likelihood (the sum) and mean_log_likelihood."""
     small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    lexicon = Lexicon(count(docs, text, s), s)
-    held = docs.sparkSession.sparkContext.broadcast((train(docs, text, s, lexicon), lexicon))
-    names = fresh(keep, "n_tokens", "log_likelihood", "mean_log_likelihood")
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
+    rows, names = read_tokens(docs, text, keep, s)
+    held = docs.sparkSession.sparkContext.broadcast(train(rows, names, s, lexicon_of(rows, names[0], s)))
+    added = fresh(keep, "n_tokens", "log_likelihood", "mean_log_likelihood")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(added[0], T.LongType()), T.StructField(added[1], T.DoubleType()), T.StructField(added[2], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, words = held.value
-        reader = Reader(s)
+        net = held.value
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
-                read = [reader.buckets(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                each = [log_likelihoods(net, words, b) for b in read]
-                n, total = [len(b) for b in read], [float(x.sum()) for x in each]
-                added = [pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array([t / k if k else None for t, k in zip(total, n)], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *added], names=[*keep, *names])
-
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+                read = [np.frombuffer(x, np.uint32) for x in batch.column(len(keep)).to_pylist()]
+                total = [float(x.sum()) for x in log_likelihoods(net, read)]
+                n = [len(x) for x in read]
+                new = [pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array([t / k if k else None for t, k in zip(total, n)], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*keep, *added])
+        net = None
+        give_back()
+
+    return rows.select(*keep, names[0]).mapInArrow(run, schema)
 
 
 def op4_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
