@@ -100,12 +100,11 @@ class Lexicon:
         return np.where(self.own[at] == hashes, at, len(self.own) + hashes % self.shared).astype(np.int64)
 
     def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Inner nodes on the ways to leaves, the sides taken, whose way each is, and where each way begins."""
+        """Inner nodes on the ways to leaves, the sides taken, how long each way is, and where it begins."""
         long = self.long[leaves]
         start = np.cumsum(long) - long
-        whose = np.repeat(np.arange(len(leaves)), long)
-        at = np.arange(len(whose)) + (self.first[leaves] - start)[whose]
-        return self.nodes[at], self.bits[at], whose, start
+        at = np.arange(start[-1] + long[-1]) + np.repeat(self.first[leaves] - start, long)
+        return self.nodes.take(at), self.bits.take(at), long, start
 
 
 class Network:
@@ -125,46 +124,47 @@ class Network:
 
     def hidden(self, places: np.ndarray) -> np.ndarray:
         """places: (windows, positions) of rows."""
-        h = self.rows[-1, :-1] + sum(self.rows[places[:, k], :-1] for k in range(len(OFFSETS)))
-        return np.tanh(h, out=h)
+        h = self.rows.take(places[:, 0], axis=0)
+        for k in range(1, len(OFFSETS)):
+            h += self.rows.take(places[:, k], axis=0)
+        return np.tanh(h[:, :-1] + self.rows[-1, :-1])
 
     def log_p(self, places: np.ndarray, leaves: np.ndarray) -> np.ndarray:
         """Log-probability of each leaf."""
         if not len(self.words.bias):
             return np.zeros(len(leaves))
-        h = self.hidden(places)
-        nodes, bits, whose, start = self.words.paths(leaves)
-        own = self.rows[self.node + nodes]
-        z = np.einsum("ij,ij->i", own[:, :-1], h[whose]) + own[:, -1]
-        p = 1 / (1 + np.exp(np.clip(z * (2 * bits - 1), -16, 16).astype(np.float64) * -1))
-        return np.log(np.multiply.reduceat(p, start))
+        nodes, bits, long, start = self.words.paths(leaves)
+        own = self.rows.take(nodes + self.node, axis=0)
+        z = np.einsum("ij,ij->i", own[:, :-1], np.repeat(self.hidden(places), long, axis=0)) + own[:, -1]
+        p = 1 / (1 + np.exp(np.clip(z * (1 - 2 * bits), -16, 16)))
+        return np.log(np.multiply.reduceat(p, start, dtype=np.float64))
 
     def gradients(self, places: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows touched, how often, and the sums of their gradients of the negative log-probability."""
-        h = self.hidden(places)
-        nodes, bits, whose, start = self.words.paths(leaves)
-        own, h_own = self.rows[self.node + nodes], h[whose]
-        z = np.einsum("ij,ij->i", own[:, :-1], h_own) + own[:, -1]
+        h = np.ascontiguousarray(self.hidden(places).T)  # by column, as all sums below
+        nodes, bits, long, start = self.words.paths(leaves)
+        own, h_own = np.ascontiguousarray(self.rows.take(nodes + self.node, axis=0).T), np.repeat(h, long, axis=1)
+        z = np.einsum("ij,ij->j", own[:-1], h_own) + own[-1]
         wrong = 1 / (1 + np.exp(-np.clip(z, -16, 16))) - bits
-        d_h = np.add.reduceat(wrong[:, None] * own[:, :-1], start) * (1 - h * h)
+        own[:-1] *= wrong
+        d_h = np.add.reduceat(own[:-1], start, axis=1) * (1 - h * h)
         often = np.bincount(nodes, minlength=len(self.words.bias))
         met = np.flatnonzero(often)
-        columns = [np.bincount(nodes, weights=wrong * h_own[:, d], minlength=len(often))[met] for d in range(h.shape[1])]
-        columns.append(np.bincount(nodes, weights=wrong, minlength=len(often))[met])
-        rows, counts, sums = [self.node + met], [often[met]], [np.column_stack(columns)]
-        nothing = np.zeros((len(leaves), 1), np.float32)
-        full = np.concatenate([d_h, nothing], 1)
-        for k in range(len(OFFSETS)):
-            order = np.argsort(places[:, k], kind="stable")
-            met, first, n = np.unique(places[order, k], return_index=True, return_counts=True)
-            rows.append(met), counts.append(n), sums.append(np.add.reduceat(full[order], first, axis=0))
-        rows.append([len(self.rows) - 1]), counts.append([len(leaves)]), sums.append(full.sum(0, keepdims=True))
-        return np.concatenate(rows), np.concatenate(counts), np.concatenate(sums)
+        h_own *= wrong
+        columns = [np.bincount(nodes, weights=x, minlength=len(often)).take(met) for x in (*h_own, wrong)]
+        near, whose = np.unique(places.T.ravel(), return_inverse=True)  # no two positions share rows
+        beside = [np.bincount(whose, weights=np.tile(x, len(OFFSETS)), minlength=len(near)) for x in d_h]
+        sums = np.zeros((len(met) + len(near) + 1, len(h) + 1), np.float32)
+        sums[: len(met)] = np.column_stack(columns)
+        sums[len(met) : -1, :-1] = np.column_stack(beside)
+        sums[-1, :-1] = d_h.sum(1)
+        counts = np.concatenate([often[met], np.bincount(whose, minlength=len(near)), [len(leaves)]])
+        return np.concatenate([self.node + met, near, [len(self.rows) - 1]]), counts, sums
 
     def step(self, places: np.ndarray, leaves: np.ndarray, often: np.ndarray) -> None:
         """A row moves by its gradients' sum over the root of their number: rare rows learn as fast as frequent ones."""
         rows, n, sums = self.gradients(places, leaves)
-        self.rows[rows] -= (self.s.rate / np.sqrt(n))[:, None] * sums
+        self.rows[rows] -= (self.s.rate / np.sqrt(n)).astype(np.float32)[:, None] * sums
         often[rows] += n
 
 
