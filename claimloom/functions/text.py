@@ -57,6 +57,12 @@ def compact_json(text):
         return None
 
 
+@arrow_function("string")
+def quoted(text):
+    """text in quotes as Python prints it, as messages quote names."""
+    return None if text is None else repr(text)
+
+
 @arrow_function("string")
 def float_text(number):
     """The shortest decimal that gives the number again, as Python prints it."""

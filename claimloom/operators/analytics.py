@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 
 def disposition_counts(claims: DataFrame, by: str, kind: str, kinds: list) -> DataFrame:
     return claims.groupBy(by).pivot(kind, kinds).agg(F.count(F.lit(1))).na.fill(0)
@@ -41,12 +43,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def _keep_checkpoints(df: DataFrame) -> None:
-    """A folder for checkpoints where the session names none, as in tests."""
+    """The shared folder for checkpoints."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimloom-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
 
 
 def pagerank(edges: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
@@ -135,3 +135,28 @@ def uncovered(concepts: DataFrame, coverage: DataFrame, key: str, last: str, fre
     newest = coverage.groupBy(key).agg(F.max(last).alias("last_"))
     joined = concepts.join(newest, key, "left")
     return joined.withColumn("status", F.when(F.col("last_").isNull(), "missing").when(F.col("last_") < fresh_until, "stale").otherwise("covered")).drop("last_")
+
+
+#: Which reason tells why a claim of a disposition does not fit.
+WHY = {"ontology_gap": "mapping", "constraint_violation": "validation", "conflict": "conflict", "out_of_scope": "scope"}
+
+
+def misfits(mappings: DataFrame) -> DataFrame:
+    """(claim_id, disposition, reason) of claims that are not accepted."""
+    told = F.coalesce(*[F.when(F.col("disposition") == d, F.col(c)) for d, c in WHY.items()], F.col("acceptance"))
+    return mappings.where("disposition <> 'accepted'").select("claim_id", "disposition", told.alias("reason"))
+
+
+def known_about(quads: DataFrame, term: str) -> DataFrame:
+    """Triples whose subject, or object as an IRI, is term; in whatever graph, each once."""
+    return quads.where((F.col("s") == term) | ((F.col("o") == term) & (F.col("o_kind") == "iri"))).select("s", "p", "o", "o_kind").distinct()
+
+
+def gap_measures(rows: DataFrame, period: str, cluster: str, source: str, is_gap: Column) -> DataFrame:
+    """For each period: rows, gaps and their rate, clusters, those never seen before, and distinct sources."""
+    first = rows.groupBy(cluster).agg(F.min(period).alias("first_"))
+    gap = F.count_if(is_gap)
+    return rows.join(first, cluster).groupBy(period).agg(
+        F.count("*").alias("rows"), gap.alias("gaps"), F.round(gap / F.count("*"), 6).alias("gap_rate"), F.count_distinct(cluster).alias("clusters"),
+        F.count_distinct(F.when(F.col(period) == F.col("first_"), F.col(cluster))).alias("new_clusters"), F.count_distinct(source).alias("sources"),
+    )

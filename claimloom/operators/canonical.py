@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lazy import arrow_function
-from ..functions.markup import canonical_value
+from ..functions.markup import render
 
 VERSION = "1"
 
@@ -19,14 +19,8 @@ def leaf_passages(documents: DataFrame, key: str, body: str) -> DataFrame:
     return documents.select(F.col(key), F.explode(_walk(F.col(body))).alias("leaf")).select(key, "leaf.*")
 
 
-@arrow_function("array<struct<order:array<string>,pointer:string,value:string>>")
-def _walk(text):
-    import json
-
-    try:
-        root = json.loads(text) if text is not None else None
-    except ValueError:
-        return []
+def leaves(root) -> list[dict]:
+    """order, pointer and value of each string leaf of a JSON value, in order."""
     out, todo = [], [((), "", root)]
     while todo:
         order, pointer, value = todo.pop()
@@ -39,12 +33,58 @@ def _walk(text):
     return sorted(out, key=lambda x: x["order"])
 
 
+def passages_text(root) -> str:
+    """Canonical text of a JSON value: a passage for each string, in the order of its keys."""
+    text = "\n\n".join(f"{x['pointer']}:\n{render(x['value'])}" for x in leaves(root))
+    return text + "\n" if text else ""
+
+
+@arrow_function("array<struct<order:array<string>,pointer:string,value:string>>")
+def _walk(text):
+    import json
+
+    try:
+        return leaves(json.loads(text)) if text is not None else []
+    except ValueError:
+        return []
+
+
+@arrow_function("string")
+def _canonical_text(text):
+    import json
+
+    try:
+        return passages_text(json.loads(text)) if text is not None else ""
+    except ValueError:
+        return ""
+
+
 def canonical_documents(documents: DataFrame, key: str, body: str) -> DataFrame:
     """documents with canonical_text, canonical_sha256 and canonicaliser_version. Passages stand in the order of their keys; an object without strings has an empty text."""
-    passages = leaf_passages(documents, key, body).withColumn("passage", F.concat("pointer", F.lit(":\n"), canonical_value(F.col("value"))))
-    texts = passages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "passage"))), lambda x: x["passage"]), "\n\n").alias("t"))
-    joined = documents.join(texts, key, "left").withColumn("canonical_text", F.when(F.length("t") > 0, F.concat("t", F.lit("\n"))).otherwise(F.lit(""))).drop("t")
-    return joined.withColumn("canonical_sha256", F.sha2("canonical_text", 256)).withColumn("canonicaliser_version", F.lit(VERSION))
+    rows = documents.withColumn("canonical_text", _canonical_text(F.col(body)))  # within the row: keys may repeat or be null
+    return rows.withColumn("canonical_sha256", F.sha2("canonical_text", 256)).withColumn("canonicaliser_version", F.lit(VERSION))
+
+
+def source_identity(body: Column, site: str) -> Column:
+    """Struct (content_id, source_url, error) that a retained JSON document declares; error names what is missing or malformed, in this order."""
+    plain = F.json_object_keys(body).isNotNull()
+    # a string stands in its JSON in quotes, which get_json_object takes off: to tell "1" from 1 the kind is read
+    kinds = F.from_json(body, "struct<content_id:variant,base_path:variant>")
+    text = lambda name: F.when(F.schema_of_variant(kinds[name]) == "STRING", F.get_json_object(body, f"$.{name}"))
+    content, path = text("content_id"), text("base_path")
+    known = F.coalesce(F.length(content) > 0, F.lit(False))
+    rooted = F.coalesce(path.startswith("/"), F.lit(False))
+    error = F.when(~plain, "source_json").when(~known, "content_id").when(~rooted, "source_url")
+    return F.struct(F.when(plain & known, content).alias("content_id"), F.when(plain & rooted, F.concat(F.lit(site), path)).alias("source_url"), error.alias("error"))
+
+
+def identity_error(anchor: Column, body: Column, site: str) -> Column:
+    """First field by which an anchor (content_id, source_url, ...) is not bound to its retained JSON document, null if it is."""
+    own = source_identity(body, site)
+    return F.coalesce(
+        F.when(own["error"].isin("source_json", "content_id"), own["error"]), F.when(~anchor["content_id"].eqNullSafe(own["content_id"]), "content_id"),
+        own["error"], F.when(~anchor["source_url"].eqNullSafe(own["source_url"]), "source_url"),
+    )
 
 
 def lines_before(text: Column, offset: Column) -> Column:

@@ -124,3 +124,13 @@ def nquads(quads: DataFrame) -> DataFrame:
     iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
     literal = F.concat(F.lit('"'), text, F.lit('"'), F.coalesce(F.concat(F.lit("^^"), iri(F.col("o_datatype"))), F.lit("")))
     return quads.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), F.when(F.col("o_kind") == "iri", iri(F.col("o"))).otherwise(literal), iri(F.col("g")), F.lit(".")).alias("value"))
+
+
+def write_dataset(quads: DataFrame, path: str, corpus: str) -> None:
+    """Writes quads as N-Quads text; a path inside the corpus, or one that holds anything, is refused."""
+    import posixpath
+
+    plain = lambda p: posixpath.normpath(p.removeprefix("file://")).rstrip("/")
+    if f"{plain(path)}/".startswith(f"{plain(corpus)}/"):
+        raise ValueError("a dataset may not stand inside its corpus")
+    nquads(quads).write.mode("error").text(path)

@@ -30,6 +30,15 @@ def run(requests: DataFrame, recorded: DataFrame) -> DataFrame:
     return out.select(*keep, "failed", F.col("failed").isNull().alias("complete"))
 
 
+def vendored(reviews: DataFrame, store: DataFrame) -> DataFrame:
+    """(review_id, vendored) of reviews (review_id, position, identity): the stored external artefacts that later roles may read, a JSON list in the order of position."""
+    held = store.where("kind = 'external-ontology'").select(F.col("identity"), "payload").dropDuplicates(["identity"])
+    reference = F.to_json(F.struct("identity", F.lit("external-ontology").alias("kind"), F.lit("1").alias("schema_version")))
+    each = F.concat(F.lit('{"artefact":'), reference, F.lit(',"content":'), F.col("payload"), F.lit("}"))
+    rows = reviews.join(held, "identity").groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("position", each.alias("x")))).alias("xs"))
+    return rows.select("review_id", canonical_json(F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["x"]), ","), F.lit("]"))).alias("vendored"))
+
+
 def assessments(reviews: DataFrame, artefacts: DataFrame) -> DataFrame:
     """(review_id, term, suitable, rationale, identity) of the proposer's assessments; those whose index names none of the review's artefacts (review_id, artefact_index, identity) have a null identity."""
     rows = reviews.select("review_id", F.inline(parsed(F.col("proposer"), ROLES["proposer"])["assessments"]))

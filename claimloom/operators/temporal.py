@@ -55,28 +55,33 @@ def _is_moment(bound: Column) -> Column:
     return bound.contains("T")
 
 
+#: An offset at the end of a moment.
+ZONE = r"(Z|[+-]\d{2}:?\d{2})$"
+
+
+def _at(bound: Column) -> Column:
+    """The moment of a bound, whatever the session's zone: a date's midnight, and a moment without an offset, are UTC."""
+    seconds = F.regexp_replace(bound, r"T(\d{2}:\d{2})(?=Z|[+-]|$)", "T$1:00")  # a moment may tell minutes alone
+    whole = F.when(_is_moment(bound), F.when(bound.rlike(ZONE), seconds).otherwise(F.concat(seconds, F.lit("Z")))).otherwise(F.concat(bound, F.lit("T00:00:00Z")))
+    return whole.try_cast("timestamp")
+
+
 def constraint_error(c: Column) -> Column:
     """Name of the first rule that a constraint breaks, null if it holds."""
     low, high = c["lower_bound"], c["upper_bound"]
-    key = lambda b: F.when(_is_moment(b), b.try_cast("timestamp")).otherwise(b.try_cast("date").cast("timestamp"))
-    zone = r"(Z|[+-]\d{2}:?\d{2})$"
-    naive = lambda b: F.coalesce(_is_moment(b) & ~b.rlike(zone), F.lit(False))
+    naive = lambda b: F.coalesce(_is_moment(b) & ~b.rlike(ZONE), F.lit(False))
     both = low.isNotNull() & high.isNotNull()
     rules = [
         (low.isNull() & high.isNull(), "bounds"),
         (naive(low) | naive(high), "timezone"),
         (both & (_is_moment(low) != _is_moment(high)), "precision"),
         ((low.isNull() & ~c["lower_inclusive"]) | (high.isNull() & ~c["upper_inclusive"]), "inclusivity"),
-        (both & (key(low) > key(high)), "order"),
-        (both & (key(low) == key(high)) & ~(c["lower_inclusive"] & c["upper_inclusive"]), "empty"),
+        (both & (_at(low) > _at(high)), "order"),
+        (both & (_at(low) == _at(high)) & ~(c["lower_inclusive"] & c["upper_inclusive"]), "empty"),
     ]
     return F.coalesce(*[F.when(bad, F.lit(name)) for bad, name in rules])
 
 
-def _at(bound: Column) -> Column:
-    return bound.try_cast("timestamp")
-
-
 def overlaps(a: Column, b: Column) -> Column:
     """Whether two constraints share a moment; open ends reach on, touching ends count where both are inclusive. A null constraint overlaps all."""
     def starts_in_time(x: Column, y: Column) -> Column:

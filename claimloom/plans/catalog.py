@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import canonical_value
 from ..functions.text import non_blank, percent_encoded, plain_text, sha_identity
-from ..operators import analytics, canonical, claims, decisions, extraction, history, ontology, quads, records, resolution, temporal
+from ..operators import analytics, canonical, claims, decisions, extraction, history, ontology, quads, records, requests, resolution, temporal
 from ..sources import artefacts, corpus, reasoning
 
 QUERIES: dict = {}
@@ -263,7 +263,7 @@ _SPANS_SQL = """e AS (SELECT event_id, user_id, ts::DATE AS day, CASE WHEN event
 
 
 @query(
-    f"""WITH {_SPANS_SQL} SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_id % 10 = 0
+    f"""WITH {_SPANS_SQL} SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id
 WHERE (a.lo IS NULL OR b.hi IS NULL OR a.lo < b.hi OR (a.lo = b.hi AND b.hi_inc)) AND (b.lo IS NULL OR a.hi IS NULL OR b.lo < a.hi OR (b.lo = a.hi AND a.hi_inc))"""
 )
 def interval_overlap(spark, sf_dir):
@@ -317,11 +317,11 @@ def ontology_gap_predicates(spark, sf_dir):
     return claims.unknown_predicates(rows, known)
 
 
-@query("SELECT 'urn:customer:' || c_custkey AS focus FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'urn:customer:' || c_custkey AS focus FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) < 10")
 def shacl_min_count(spark, sf_dir):
     from ..operators.shacl import read_shapes, validate
 
-    shapes = read_shapes("""@prefix sh: <http://www.w3.org/ns/shacl#> . <urn:shape> a sh:NodeShape ; sh:targetClass <urn:Customer> ; sh:property [ sh:path <urn:made> ; sh:minCount 1 ] .""")
+    shapes = read_shapes("""@prefix sh: <http://www.w3.org/ns/shacl#> . <urn:shape> a sh:NodeShape ; sh:targetClass <urn:Customer> ; sh:property [ sh:path <urn:made> ; sh:minCount 10 ] .""")
     q = _order_quads(spark, sf_dir)
     made = q.where("p = 'urn:by'").select("g", F.col("o").alias("s"), F.lit("urn:made").alias("p"), F.col("s").alias("o"), "o_kind", "o_datatype")
     return validate(q.unionByName(made), shapes).select("focus")
@@ -398,10 +398,10 @@ def _turns(spark, sf_dir) -> DataFrame:
 @query(
     """WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations), f AS (SELECT conv_id, min(turn) AS t0 FROM t GROUP BY 1),
 c AS (SELECT t.*, t0, row_number() OVER (PARTITION BY t.conv_id ORDER BY turn) - 1 AS r FROM t JOIN f USING (conv_id))
-SELECT conv_id || ':' || turn AS decision_id, r::INT AS step FROM c WHERE turn - t0 = r"""
+SELECT conv_id || ':' || turn AS decision_id, CASE WHEN turn - t0 = r THEN r::INT END AS step, CASE WHEN turn - t0 <> r THEN 'missing' END AS diagnostic FROM c"""
 )
 def history_walk(spark, sf_dir):
-    return history.walk(_turns(spark, sf_dir), depth=1000).select("decision_id", "step")
+    return history.walk(_turns(spark, sf_dir)).select("decision_id", "step", "diagnostic")
 
 
 @query("""WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations) SELECT conv_id || ':' || turn AS decision_id FROM t WHERE turn % 3 IN (0, 1) AND (conv_id, turn) NOT IN (SELECT (conv_id, turn - 1) FROM t WHERE turn % 3 = 2)""")
@@ -550,10 +550,13 @@ def text_guard(spark, sf_dir):
 
 
 @query(
-    """SELECT '<urn:order:' || o_orderkey || '> <urn:status> "' || o_orderstatus || '" <urn:g:orders> .' AS value FROM orders UNION ALL SELECT '<urn:order:' || o_orderkey || '> <urn:by> <urn:customer:' || o_custkey || '> <urn:g:orders> .' FROM orders"""
+    """SELECT '<urn:order:' || o_orderkey || '> <urn:status> "' || o_orderstatus || '" <urn:g:orders> .' AS value FROM orders UNION ALL SELECT '<urn:order:' || o_orderkey || '> <urn:by> <urn:customer:' || o_custkey || '> <urn:g:orders> .' FROM orders
+UNION ALL SELECT '<urn:customer:' || c_custkey || '> <' || p || '> ' || o || ' <urn:g:customers> .' FROM (SELECT c_custkey, '"""
+    + _TYPE
+    + """' AS p, '<urn:Customer>' AS o FROM customer UNION ALL SELECT c_custkey, 'urn:segment', '"' || c_mktsegment || '"' FROM customer)"""
 )
 def nquads_lines(spark, sf_dir):
-    return quads.nquads(_order_quads(spark, sf_dir).where("g = 'urn:g:orders'"))
+    return quads.nquads(_order_quads(spark, sf_dir))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'json' WHEN 2 THEN 'k' END AS error FROM events")
@@ -643,3 +646,144 @@ def reversal_errors(spark, sf_dir):
     bad = history.reversal_error(t.where("kind = 'reversal'"), t)
     part = F.split("decision_id", ":")
     return bad.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "error")
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    """Documents as JSON objects; by doc_id % 5 one has no id, a number for an id, a path that is none, or is a list."""
+    k = F.col("doc_id") % 5
+    content = F.when(k == 1, F.lit("null")).when(k == 2, "7").otherwise(F.to_json(F.array(F.col("lang"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("lang")))) - 2))
+    path = F.when(k == 3, "source").otherwise(F.concat(F.lit("/"), "source"))
+    body = F.concat(F.lit('{"content_id":'), content, F.lit(',"base_path":"'), path, F.lit('"}'))
+    return _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.when(k == 4, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body).alias("body"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'content_id' WHEN 2 THEN 'content_id' WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'content_id' ELSE 'source_url' END WHEN 4 THEN 'source_json'
+  ELSE CASE WHEN doc_id % 2 = 0 THEN 'content_id' WHEN doc_id % 3 = 0 THEN 'source_url' END END AS error FROM documents"""
+)
+def source_identity(spark, sf_dir):
+    """Anchors against the identity that their retained documents declare: every second names another document, every third another address."""
+    content = F.when(F.col("doc_id") % 2 == 0, "another").otherwise(F.col("lang"))
+    url = F.concat(F.when(F.col("doc_id") % 3 == 0, "https://elsewhere.example/").otherwise("https://site.example/"), "source")
+    anchor = F.struct(content.alias("content_id"), url.alias("source_url"))
+    return _bodies(spark, sf_dir).select("doc_id", canonical.identity_error(anchor, F.col("body"), "https://site.example").alias("error"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, '{"lang":' || to_json(lang) || ',"source":' || to_json(source) || '}' AS payload FROM documents)
+SELECT doc_id, 'sha256:' || sha256('{"payload":{"input":' || payload || ',"stage":"claim-decision"},"schema_version":"1"}') AS request_id FROM d"""
+)
+def request_identity(spark, sf_dir):
+    return requests.create(_t(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "claim-decision", "lang", "source").select("doc_id", "request_id")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'request' WHEN 1 THEN 'missing' WHEN 2 THEN 'identity' END AS diagnostic, CASE WHEN doc_id % 4 = 3 THEN '{"toxic":' || toxic || '}' END AS output FROM labels"""
+)
+def request_replay(spark, sf_dir):
+    """Results of labels' requests, spoilt by doc_id % 4: the request's bytes changed, no result, a result under another name, sound."""
+    k = F.col("doc_id") % 4
+    rows = requests.create(_t(spark, sf_dir, "labels").select("doc_id", "toxic"), "temporal-resolution", "doc_id")
+    body = F.concat(F.lit('{"output":{"toxic":'), F.col("toxic").cast("string"), F.lit('},"request":"'), F.col("request_id"), F.lit('"}'))
+    results = rows.where(k != 1).select(body.alias("result"), F.when(k == 2, "sha256:x").otherwise(requests.identity(body)).alias("result_id"))
+    changed = rows.withColumn("request", F.when(k == 0, F.lit("{}")).otherwise(F.col("request")))
+    return requests.replay(changed, results).select("doc_id", "diagnostic", "output")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'shape' END AS entity, CASE WHEN doc_id % 3 <> 1 THEN 'shape' END AS time FROM labels")
+def completed_results(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    record = F.when(k == 0, '{"history":[],"reasoning_invocation":{},"request":{}}').when(k == 1, '{"outcome":{},"reasoning_invocation":{},"request":{}}').otherwise('{"outcome":{},"request":{}}')
+    return _t(spark, sf_dir, "labels").select("doc_id", requests.completed_error(record, "entity-resolution").alias("entity"), requests.completed_error(record, "temporal-resolution").alias("time"))
+
+
+@query(
+    """SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'target' WHEN 1 THEN 'head' WHEN 2 THEN 'reversed' END AS error FROM (SELECT DISTINCT conv_id FROM conversations)"""
+)
+def history_append(spark, sf_dir):
+    """New decisions on each conversation's history: a merge into one of its sources, one that does not follow the newest, a reversal of nothing, a sound one."""
+    turns = _turns(spark, sf_dir)
+    last = turns.groupBy(F.split_part("decision_id", F.lit(":"), F.lit(1)).cast("long").alias("conv_id")).agg(F.max_by("decision_id", F.split_part("decision_id", F.lit(":"), F.lit(2)).cast("int")).alias("head"))
+    k, a = F.col("conv_id") % 4, lambda *x: F.array(*[F.lit(y) for y in x])
+    new = last.select(
+        "conv_id", F.when(k == 1, "nowhere").otherwise(F.col("head")).alias("previous_id"), F.when(k == 2, "reversal").otherwise("merge").alias("kind"), a("a", "b").alias("sources"),
+        F.when(k == 0, a("a")).otherwise(a("c")).alias("targets"), F.when(k == 2, F.lit("nothing")).alias("reversed_id"), F.lit("{}").alias("provenance"),
+    )
+    return history.append(turns, new).select("conv_id", "error")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Ontology research record has no Ontology-gap Claim.' WHEN 1 THEN 'Ontology research record has an invalid Ontology-gap Claim.'
+  ELSE CASE WHEN toxic = 0 THEN 'Ontology research record has an invalid Ontology-gap Claim.' WHEN doc_id % 4 = 2 THEN 'The Ontology-gap Claim that prompted research must be reconsidered.' END END AS diagnostic FROM labels"""
+)
+def research_gaps(spark, sf_dir):
+    """Research records that name no claim, a thing that is no claim, or the label's claim; toxic ones are gaps, and some of them are reconsidered."""
+    rows = _t(spark, sf_dir, "labels").withColumn("identity", sha_identity(F.col("doc_id").cast("string")))
+    k = F.col("doc_id") % 4
+    gap = F.when(k == 1, F.lit('"x"')).otherwise(F.concat(F.lit('{"identity":"'), "identity", F.lit('","kind":"claim-mapping","schema_version":"1"}')))
+    research = rows.select("doc_id", F.col("doc_id").alias("proposal_id"), F.when(k == 0, "{}").otherwise(F.concat(F.lit('{"ontology_gap":'), gap, F.lit("}"))).alias("payload"))
+    mappings = rows.select("identity", F.when(F.col("toxic") == 1, "ontology_gap").otherwise("accepted").alias("disposition"))
+    again = rows.where(k == 3).select(F.col("doc_id").alias("proposal_id"), F.col("identity").alias("previous"))
+    return ontology.gap_diagnostics(research, mappings, again).select("doc_id", "diagnostic")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Expected ontology-decision causal artefact.' WHEN 1 THEN 'Causal artefact ' || doc_id || ' is invalid.' ELSE 'Causal artefact ' || doc_id || ' is not a critic decision.' END AS diagnostic
+FROM labels WHERE doc_id % 3 < 2 OR toxic = 0"""
+)
+def causal_references(spark, sf_dir):
+    """Critics' references: of another kind, not stored, or stored; the toxic ones alone are of the critic's stage."""
+    k, i = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    rows = _t(spark, sf_dir, "labels")
+    references = rows.select(i.alias("identity"), F.lit("critic").alias("role"), F.when(k == 0, "claim").otherwise("ontology-decision").alias("kind"))
+    stage = F.when(F.col("toxic") == 1, "critic").otherwise("proposer")
+    store = rows.where(k == 2).select(i.alias("identity"), F.lit("ontology-decision").alias("kind"), F.to_json(F.struct(stage.alias("stage"))).alias("payload"))
+    told = ontology.causal_diagnostics(references, store)
+    return told.select(F.when(F.col("diagnostic").startswith("Causal"), F.regexp_extract("diagnostic", r"artefact (\d+) ", 1).cast("long")).alias("doc_id"), "diagnostic").where("doc_id is not null").unionByName(
+        references.where("kind <> 'ontology-decision'").select(F.col("identity").cast("long").alias("doc_id"), F.lit("Expected ontology-decision causal artefact.").alias("diagnostic"))
+    )
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS claim_id, CASE WHEN quality = 0 THEN 'out_of_scope' ELSE 'conflict' END AS disposition, CASE WHEN quality = 0 THEN 's' ELSE 'c' END AS reason FROM labels WHERE quality = 0 OR toxic = 1"""
+)
+def claims_that_do_not_fit(spark, sf_dir):
+    rows = _mappings(spark, sf_dir).join(_t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("claim_id"), "quality", "toxic"), "claim_id")
+    return analytics.misfits(rows.withColumn("disposition", F.when(F.col("quality") == 0, "out_of_scope").when(F.col("toxic") == 1, "conflict").otherwise("accepted")))
+
+
+@query("""SELECT 'urn:order:' || o_orderkey AS s, 'urn:by' AS p, 'urn:customer:' || o_custkey AS o FROM orders WHERE o_custkey = 1 UNION ALL SELECT 'urn:customer:1', p, o FROM customer, (VALUES (0)) AS z(z), LATERAL (VALUES ('%s', 'urn:Customer'), ('urn:segment', c_mktsegment)) AS t(p, o) WHERE c_custkey = 1""" % _TYPE)
+def known_about(spark, sf_dir):
+    return analytics.known_about(_order_quads(spark, sf_dir), "urn:customer:1").select("s", "p", "o")
+
+
+@query(
+    """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, user_id FROM events), f AS (SELECT event_type, min(day) AS first FROM e GROUP BY 1)
+SELECT day, count(*) AS rows, count(*) FILTER (event_type = 'error') AS gaps, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS gap_rate, count(DISTINCT event_type) AS clusters,
+  count(DISTINCT event_type) FILTER (day = first) AS new_clusters, count(DISTINCT user_id) AS sources FROM e JOIN f USING (event_type) GROUP BY 1"""
+)
+def gap_measures(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(_iso("ts").alias("day"), "event_type", "user_id")
+    return analytics.gap_measures(e, "day", "event_type", "user_id", F.col("event_type") == "error")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, '{{"lang":' || to_json(lang) || ',"source":' || to_json(source) || '}}' AS body, lang, source FROM documents), n AS (SELECT *, '{V("source-document/")}' || doc_id || '/' || sha256(body) AS node FROM d)
+SELECT node || '/assertion/' || k AS s, CASE k WHEN 'lang' THEN to_json(lang)::VARCHAR ELSE to_json(source)::VARCHAR END AS o FROM n, (VALUES ('lang'), ('source')) AS ks(k)"""
+)
+def document_quads(spark, sf_dir):
+    body = F.to_json(F.struct("lang", "source"))
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), body.alias("body"), F.sha2(body, 256).alias("sha"))
+    return quads.source_quads(rows, "id", "body", "sha").where(F.col("p") == V("sourceValue")).select("s", "o")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, greatest(length(text) // 2, 0) AS s FROM documents WHERE length(text) >= 80)
+SELECT doc_id, s::INT AS start_offset, (s + 20)::INT AS end_offset, (length(text[1:s]) - length(replace(text[1:s], chr(10), '')))::INT AS start_line, (length(text[1:s + 19]) - length(replace(text[1:s + 19], chr(10), '')))::INT AS end_line,
+  text[s + 1:s + 20] AS selected_text, text[s - 31:s] AS prefix, text[s + 21:s + 52] AS suffix, strpos(text, text[s + 1:s + 20]) <> s + 1 AS moved FROM d"""
+)
+def evidence_anchor_inside(spark, sf_dir):
+    """Anchors in the middle of documents; moved where the passage stands earlier too."""
+    start = F.floor(F.length("text") / 2).cast("int")
+    d = _t(spark, sf_dir, "documents").where(F.length("text") >= 80).select("doc_id", "text", canonical.build_anchor(F.col("text"), start, start + 20).alias("a"))
+    return d.select("doc_id", "a.*", (F.position(F.col("a.selected_text"), F.col("text")) != F.col("a.start_offset") + 1).alias("moved"))

@@ -26,3 +26,14 @@ class Workflow:
         for name, (_, stage) in self.stages.items():
             out[name] = stage(out)
         return out
+
+
+def resolution() -> Workflow:
+    """A document's resolution: entities first, then times, from what was recorded. Given mentions, expressions and recorded."""
+    from ..operators.resolution import resolve_entities, resolve_times
+
+    return (
+        Workflow()
+        .add("entities", lambda r: resolve_entities(r["mentions"], r["recorded"]))
+        .add("times", lambda r: resolve_times(r["expressions"], r["recorded"]), "entities")
+    )

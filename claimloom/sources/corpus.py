@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.markup import render
+from ..operators.canonical import passages_text
 
 ENTRY = "sequence int, base_path string, content_id string, locale string, updated_at string, content_api_url string, source_json string, source_json_sha256 string, canonical_text string, canonical_text_sha256 string, canonicaliser_version string, source_version string"
 MANIFEST = f"schema_version string, status string, acquisition struct<organisation:string,maximum:int,ordering:string>, source_documents array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>"
@@ -59,21 +59,6 @@ def enumerate_paths(fetch_page: Callable[[int, int], dict], most: int, page: int
     return sorted(found)
 
 
-def canonical_text(document: dict) -> str:
-    """Passages of a document's strings, in the order of its keys."""
-    out, todo = [], [((), "", document)]
-    while todo:
-        order, pointer, value = todo.pop()
-        if isinstance(value, str):
-            out.append((order, f"{pointer}:\n{render(value)}"))
-        elif isinstance(value, dict):
-            todo += [((*order, (k, 0)), f"{pointer}/{k.replace('~', '~0').replace('/', '~1')}", v) for k, v in value.items()]
-        elif isinstance(value, list):
-            todo += [((*order, ("", i)), f"{pointer}/{i}", v) for i, v in enumerate(value)]
-    text = "\n\n".join(passage for _, passage in sorted(out))
-    return text + "\n" if text else ""
-
-
 def download(spark: SparkSession, paths: list[str], fetch: Callable[[str], bytes], api: str) -> DataFrame:
     """(sequence, base_path, ..., body, canonical, failure) of each path, fetched in parallel."""
     rows = spark.createDataFrame(list(enumerate(paths)), "sequence int, base_path string")
@@ -91,7 +76,7 @@ def download(spark: SparkSession, paths: list[str], fetch: Callable[[str], bytes
                         failure = "an identity field is not text"
                     elif document.get("base_path") != path:
                         failure = "base_path is another document's"
-                    text = canonical_text(document)
+                    text = passages_text(document)
                 except Exception as error:  # the failure is the result
                     failure = f"{type(error).__name__}: {error}"
                 out.append((sequence, path, *ids, body, text, failure))

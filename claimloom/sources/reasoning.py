@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json
 
-#: Fields that may not stand in a model's configuration, at any depth.
-CREDENTIALS = frozenset({"api_key", "apikey", "authorization", "bearer", "credential", "credentials", "password", "secret", "token", "access_token"})
-PARAMETERS = frozenset({"temperature", "top_p", "max_tokens", "seed", "stop", "response_schema", "headers"})
+#: Fields that may not stand in a model's configuration, at any depth, and the parameters that one may have.
+CREDENTIALS = frozenset("api_key apikey authorization openrouter_api_key x_api_key x_openrouter_api_key".split())
+PARAMETERS = frozenset("frequency_penalty max_completion_tokens max_retries max_tokens n openrouter_provider plugins presence_penalty reasoning route seed stop temperature timeout top_p".split())
+#: What a model is asked with where the caller says nothing.
+DEFAULTS = {"max_retries": 0, "timeout": 60_000}
+#: Any JSON object.
+ANY_OBJECT = {"type": "object", "additionalProperties": True}
 INVOCATION = "stage string, request string, output string, failure string, attempts int, history array<string>"
 
 
@@ -36,6 +40,33 @@ def check_configuration(parameters: dict) -> str:
     return json.dumps(parameters, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def settings(parameters: dict) -> dict:
+    """What a client is made with: the checked parameters over the defaults. Credentials are the caller's own and stand in no record."""
+    check_configuration(parameters)
+    return DEFAULTS | parameters
+
+
+def output_schema(request: str) -> dict:
+    """The schema that an input's output_schema asks of its output, else that of any object."""
+    found = json.loads(request)
+    schema = found.get("output_schema") if isinstance(found, dict) else None
+    if schema is not None and not isinstance(schema, dict):
+        raise ValueError("output_schema is not a JSON object")
+    return schema if schema is not None else ANY_OBJECT
+
+
+def audit(invocations: DataFrame, path: str, provider: str, model: str, parameters: dict) -> DataFrame:
+    """Stores an audit record of each row of run: stage, configuration, input, output and every attempt; gives their references."""
+    from . import artefacts
+
+    known = json.dumps({"model": model, "parameters": json.loads(check_configuration(parameters)), "provider": provider})[1:-1]
+    body = F.concat(
+        F.lit("{" + known + ',"stage":'), F.to_json(F.array("stage")).substr(F.lit(2), F.length(F.to_json(F.array("stage"))) - 2), F.lit(',"structured_input":'), F.col("request"),
+        F.lit(',"structured_output":'), F.coalesce("output", F.lit("null")), F.lit(',"retry_history":['), F.array_join("history", ","), F.lit("]}"),
+    )
+    return artefacts.write(invocations.select(body.alias("payload")), path, "reasoning-invocation")
+
+
 def request_key(stage: str, payload: str):
     return F.sha2(F.concat(F.lit(stage), F.lit("\n"), canonical_json(F.col(payload))), 256)
 
