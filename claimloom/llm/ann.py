@@ -14,7 +14,8 @@ the sample. Those that stay get their exact distance on the original vectors.
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows without id; rows that share an id are one
 candidate, at its smaller distance; equal distances go to the smaller id; a table with fewer
-than k candidates returns them all; an empty table gives an empty result; other columns are ignored.
+than k candidates returns them all, as does a probe that would see no more than k; of a query id's several vectors the least
+is asked; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     out = "query_id long, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas().sort_values("id")
+    taken = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas().drop_duplicates("id").sort_values("id")  # an id once: the first bound is over ids
     sample, sample_ids = matrix(taken["v"]), taken["id"].to_numpy()
     lists = max(1, min(MOST_LISTS, round(math.sqrt(n)), len(sample)))
     probes = max(1, math.ceil(probe * lists))
@@ -119,8 +120,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
 
     listed = stash(rows.mapInPandas(to_list, "id long, v array<double>, list int"), "listed")
     # sizes of at most MOST_LISTS lists, and how many queries come to each
-    sizes = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    queries = rows.where(is_query).dropDuplicates(["id"])
+    counted = listed.groupBy("list").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).collect()
+    sizes, names = {r["list"]: r["n"] for r in counted}, np.zeros(lists, np.int64)
+    for r in counted:
+        names[r["list"]] = r["d"]
+    queries = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))  # of an id's vectors the least, so that reruns agree
 
     def to_probes(batches):
         centre, _, sample, sample_ids = held.value
@@ -128,11 +132,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
             for low in range(0, len(batch), 256):
                 part = batch.iloc[low : low + 256]
                 q = matrix(part["v"])
-                near = np.argsort(squares(q, centre), axis=1, kind="stable")[:, :probes]
+                near = np.argsort(squares(q, centre), axis=1, kind="stable")
+                asked = np.maximum(probes, np.minimum((names[near].cumsum(1) <= k).sum(1) + 1, lists))  # on until lists of more than k ids are seen
+                near = np.concatenate([x[:n] for x, n in zip(near, asked)])
                 dist = squares(q, sample)
                 dist[part["id"].to_numpy()[:, None] == sample_ids[None]] = np.inf
                 bound = np.sqrt(np.sort(dist, axis=1)[:, k - 1]) * (1 + 1e-9) + 1e-9 if dist.shape[1] >= k else np.full(len(part), np.inf)
-                yield pd.DataFrame({"id": part["id"].repeat(probes).to_numpy(), "v": part["v"].repeat(probes).to_numpy(), "list": near.ravel().astype(np.int32), "bound": bound.repeat(probes)})
+                yield pd.DataFrame({"id": part["id"].repeat(asked).to_numpy(), "v": part["v"].repeat(asked).to_numpy(), "list": near.astype(np.int32), "bound": bound.repeat(asked)})
 
     probed = stash(queries.mapInPandas(to_probes, "id long, v array<double>, list int, bound double"), "probed")
     asked = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}

@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -261,15 +262,21 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_span(self, ids: list[int], ends: list[int], low: int, high: int) -> bytes:
+        """Bytes low to high of the text, from the ids that hold them alone: the kept ends tell which."""
+        a, b = bisect_right(ends, low), bisect_left(ends, high) + 1
+        start = ends[a - 1] if a else 0
+        return self.decode(ids[a:b])[low - start : high - start] if low < high else b""
+
 
 ADDED = {
-    "n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()),
+    "n_tokens": T.LongType(), "n_bytes": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()),
     "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(),
 }
 
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", add: tuple[str, ...] = ("n_tokens", "ids", "ends"), keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns keep) with what add names of: n_tokens, ids, ends (of each id's bytes), ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes that the ids give when decoded)."""
+    """docs (or its columns keep) with what add names of: n_tokens, n_bytes (where the last id's bytes end), ids, ends (of each id's bytes), ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes that the ids give when decoded)."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     keep = docs.columns if keep is None else keep
@@ -291,6 +298,8 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", add: tuple[str,
                 for a in add:
                     if a == "n_tokens":
                         columns.append(pa.array([len(x) for x in ids], pa.int64()))
+                    elif a == "n_bytes":
+                        columns.append(pa.array([int(codec.sizes[x].sum()) for x in ids], pa.int64()))
                     elif a == "ids":
                         columns.append(pa.ListArray.from_arrays(lists, pa.array(np.concatenate(ids), pa.int32())))
                     elif a == "ends":
@@ -330,9 +339,9 @@ def default_ranks() -> str:
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, default_ranks(), add=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
+    return encode(docs, default_ranks(), add=("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"), keep=["doc_id"])
 
 
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, its digests beside them."""
-    return encode(docs, default_ranks(), add=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), keep=[c for c in docs.columns if c != "text"])
+    """The ids of every document, the ends of their bytes and its digests beside them."""
+    return encode(docs, default_ranks(), add=("n_tokens", "ids", "ends", "ids_sha256", "decoded_sha256"), keep=[c for c in docs.columns if c != "text"])

@@ -58,9 +58,13 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing. The folder stays until ``discard``."""
+def stash(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing. The folder stays until ``discard``.
+
+    few: a table of narrow rows, written as two files a core at most instead of one for each partition."""
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(2 * max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark).rstrip('/')}/claimloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)

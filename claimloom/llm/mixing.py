@@ -170,7 +170,7 @@ def copies(rows: DataFrame, m: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     streamed = alike.withColumn("before_", before).join(quota, F.col("src_").eqNullSafe(F.col("s_")) & (F.col("shard_") == F.col("p_")))
     rest = F.col("quota_") * F.lit(m.block) - whole(m) * F.col("held_")
     cut = F.max(F.when(F.col("before_") + F.col("n") / 2 <= rest, F.col("hash_")))
-    return recipe, stash(streamed.groupBy("s_", "p_").agg(F.max(whole(m)).alias("whole_"), cut.alias("cut_")), "cuts")
+    return recipe, stash(streamed.groupBy("s_", "p_").agg(F.max(whole(m)).alias("whole_"), cut.alias("cut_")), "cuts", few=True)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

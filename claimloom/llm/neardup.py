@@ -108,7 +108,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of written pairs (a, b), those whose full sets have 100 * intersection >= 75 * union."""
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids", few=True)
     sets = stash(full_sets(docs, ids), "sets")
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
@@ -249,7 +249,7 @@ def home_regions(open_: DataFrame) -> DataFrame:
     Size and half of the key make one number, whose maxima are taken before anything is shuffled; regions that share it share a home."""
     size = F.shiftleft(F.col("m"), 32).bitwiseOR(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))
     first = open_.groupBy("node").agg(F.max(size).alias("h"))
-    second = stash(open_.select("key", "node").join(first, "node").groupBy("key").agg(F.max("h").alias("h")), "homes")
+    second = stash(open_.select("key", "node").join(first, "node").groupBy("key").agg(F.max("h").alias("h")), "homes", few=True)
     return joined(open_.select("key", "node"), second, "key").groupBy("node").agg(F.max("h").alias("home"))
 
 
@@ -352,7 +352,7 @@ def forest(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in rest], pa.binary())], names=[*batch.schema.names, "rest"])
 
     placed = nodes.select("node", "sig").mapInArrow(keys, "key long, tree int, node long")
-    sizes = stash(placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    sizes = stash(placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes", few=True)
     shared = joined(placed, sizes, "key").join(nodes.select("node", "n", "sig"), "node")
     return stash(shared.select("key", "tree", "node", "n", "sig", "m").mapInArrow(ordered, "key long, tree int, node long, n long, sig binary, m long, rest binary"), "regions")
 
@@ -360,26 +360,26 @@ def forest(nodes: DataFrame) -> DataFrame:
 def candidates(regions: DataFrame, width: int) -> DataFrame:
     """A written table of the forest's candidate pairs (a, b)."""
     walk = regions.select("key", "tree", "node", "n", "sig", "rest").repartitionByRange(width, "key", "rest").sortWithinPartitions("key", "rest")
-    return stash(walk.mapInArrow(neighbours, "a long, b long").distinct(), "pairs")
+    return stash(walk.mapInArrow(neighbours, "a long, b long").distinct(), "pairs", few=True)
 
 
 def ascent(docs: DataFrame, regions: DataFrame, pairs: DataFrame, found: DataFrame, width: int) -> DataFrame:
     """A written table of links (a, b) between components that still share a region."""
     component = F.coalesce("component", "node")
     narrow = regions.select("key", "node").join(found, "node", "left").groupBy("key")
-    mixed = stash(narrow.agg(F.min(component).alias("c0"), F.max(component).alias("c1")).where("c0 <> c1").select("key"), "mixed")
+    mixed = stash(narrow.agg(F.min(component).alias("c0"), F.max(component).alias("c1")).where("c0 <> c1").select("key"), "mixed", few=True)
     open_ = by_ids(regions.drop("rest"), mixed, "key", "left_semi").join(found, "node", "left").withColumn("component", component)
     open_ = stash(open_, "open")
-    homes = stash(home_regions(open_), "homes")
+    homes = stash(home_regions(open_), "homes", few=True)
     each = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("component").alias("component"))
-    each = stash(each.join(homes, "node"), "each")
-    groups = stash(each.groupBy("home").agg(F.count("*").alias("g"), F.sum("n").alias("w")).where("g > 1").select("home", blocks("g", "w").alias("parts")), "groups")
+    each = stash(each.join(homes, "node"), "each", few=True)
+    groups = stash(each.groupBy("home").agg(F.count("*").alias("g"), F.sum("n").alias("w")).where("g > 1").select("home", blocks("g", "w").alias("parts")), "groups", few=True)
     at_home = joined(each.drop("n"), groups, "home")
-    at_home = at_home.join(full_sets(docs, stash(at_home.select("node"), "ids")), "node")
-    links = stash(deal(at_home, "home", "parts", width).mapInArrow(within_homes, "a long, b long"), "links")
+    at_home = at_home.join(full_sets(docs, stash(at_home.select("node"), "ids", few=True)), "node")
+    links = stash(deal(at_home, "home", "parts", width).mapInArrow(within_homes, "a long, b long"), "links", few=True)
     apart = deal(open_.join(homes, "node").withColumn("parts", blocks("m")), "key", "parts", width).mapInArrow(across, "a long, b long").distinct()
-    more = stash(apart.join(pairs, ["a", "b"], "left_anti"), "more")
-    return links if more.isEmpty() else stash(links.union(confirm(docs, more)), "links")
+    more = stash(apart.join(pairs, ["a", "b"], "left_anti"), "more", few=True)
+    return links if more.isEmpty() else stash(links.union(confirm(docs, more)), "links", few=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -394,7 +394,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stash(sets.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
     regions = forest(nodes)
     pairs = candidates(regions, width)
-    found = components(stash(confirm(docs, pairs), "links"))
+    found = components(stash(confirm(docs, pairs), "links", few=True))
     extra = ascent(docs, regions, pairs, found, width)
     if not extra.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra))
@@ -411,7 +411,7 @@ def op3_neardup(spark, sf_dir: str) -> DataFrame:
 
 def neardup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest id."""
-    gone = stash(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    gone = stash(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone", few=True)
     return by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -221,7 +221,8 @@ def read_tokens(docs: DataFrame, text: str, keep: list[str], s: Settings) -> tup
     rows = docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
     order = F.xxhash64(n_tokens, *plain)
     rows = rows.withColumn(n_order, order).withColumn(n_shard, F.pmod(F.xxhash64(n_order), F.lit(shards)).cast("int")).withColumn(n_round, F.col(n_shard) % s.rounds)
-    return stash(rows.repartition(shards, n_shard).sortWithinPartitions(n_shard, n_order), "tokens"), names
+    parts = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stash(rows.repartition(parts, n_shard).sortWithinPartitions(n_shard, n_order), "tokens"), names
 
 
 def lexicon_of(rows: DataFrame, tokens: str, s: Settings) -> Lexicon:

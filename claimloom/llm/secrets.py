@@ -96,7 +96,7 @@ def linked_parts(texts: DataFrame, reach: int) -> DataFrame:
     before = F.max(F.when(F.col("is_base"), F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
     after = F.min(F.when(F.col("is_base"), F.col("start"))).over(order.rangeBetween(1, Window.unboundedFollowing))
     touched = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
-    apart = stash(pieces.withColumn("touched", touched).where("is_base or not touched").withColumn("role", _role(F.col("rank"))), "parts")
+    apart = stash(pieces.withColumn("touched", touched).where("is_base or not touched").withColumn("role", _role(F.col("rank"))), "parts", few=True)
 
     def bins(low: Column, high: Column) -> Column:
         return F.explode(F.sequence(F.floor(low / reach).cast("int"), F.floor(high / reach).cast("int")))

@@ -76,3 +76,22 @@ def test_classes_of_all_code_points(lead):
         if ids.tolist() != probe.encode_ordinary(text):
             wrong.append(text)
     assert not wrong, (len(wrong), [hex(ord(x[1])) for x in wrong[:40]])
+
+
+def test_kept_ends_decode_any_span():
+    rng = random.Random(11)
+    for text in ["", "é𝄞 don't  stop", "ab" * 300 + " 12²½ \n\n x"]:
+        whole, ids = text.encode(), CODEC.encode_batch([text])[0]
+        ends = CODEC.sizes[ids].cumsum().tolist()
+        assert (ends[-1] if ends else 0) == len(whole)
+        for _ in range(60):
+            low, high = sorted(rng.choices(range(len(whole) + 1), k=2))
+            assert CODEC.decode_span(ids.tolist(), ends, low, high) == whole[low:high]
+
+
+def test_a_text_longer_than_a_chunk():
+    rng = random.Random(3)
+    text = " ".join(rng.choices(["word", "don't", "12345", "é!?", "\n\n", "x" * 90], k=200_000))
+    assert len(text) > 1_000_000
+    (ids,) = CODEC.encode_batch([text])
+    assert ids.tolist() == ORACLE.encode_ordinary(text) and CODEC.decode(ids.tolist()) == text.encode()

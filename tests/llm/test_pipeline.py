@@ -108,7 +108,7 @@ def test_defined_cases_pass_through_every_stage(spark, tmp_path):
             assert sum(i is None for i, _ in got) >= 2 and {1, 2, 4} <= {i for i, _ in got}
             assert all(n == 0 for i, n in got if i in (1, 4))
         else:
-            assert docs.columns[-4:] == ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+            assert docs.columns[-5:] == ["n_tokens", "ids", "ends", "ids_sha256", "decoded_sha256"]
 
 
 def test_the_pipeline_as_a_whole(spark, steps):

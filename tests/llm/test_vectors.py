@@ -50,3 +50,24 @@ def test_block_search_with_ties_and_negative_weights():
         s = x @ q[i]
         s[i] = -1e9
         assert name[place == i].tolist() == np.lexsort([ids, -s])[:5].tolist()
+
+
+def test_repeated_ids_with_several_vectors(spark):
+    """One candidate an id, at its nearest; a query asks with the least of its vectors, whatever the order of rows."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40) for _ in range(1 + 12 * (i in (0, 3)))]
+    lists = None
+    for n in (1, 3):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(n)
+        got = nearest(df, F.col("id") == 0, probe=1.0).orderBy("rank").collect()
+        exact = top_k(df, F.col("id") == 0).orderBy("rank").collect()
+        found = [tuple(r) for r in got], [tuple(r) for r in exact]
+        assert lists is None or found == lists
+        lists = found
+    q = np.array(min(v for i, v in rows if i == 0))
+    best = {}
+    for i, v in rows:
+        if i:
+            best[i] = min(best.get(i, np.inf), float(np.sqrt(((np.array(v) - q) ** 2).sum())))
+    assert [r[2] for r in lists[0]] == sorted(best, key=lambda i: (best[i], i))[:10]
+    assert nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, probe=0.01).count() == 10
