@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word for the operators that count or shingle: a run of anything but these.
@@ -33,6 +34,18 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Returns what the driver's JVM has freed to the system: the C library keeps what compilers of many plans leave. Nothing happens where the JVM has no such command."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    with contextlib.suppress(Py4JError):
+        of = jvm.java.lang.Class.forName
+        kinds, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        kinds[0], kinds[1], kinds[2], kinds[3] = of("javax.management.ObjectName"), of("java.lang.String"), of("[Ljava.lang.Object;"), of("[Ljava.lang.String;")
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface's method: the server's own class is closed to others
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+
+
 def local(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     """A table of the driver's rows, handed over as Arrow: plain lists would start Python workers on the executors."""
     columns = list(zip(*rows)) or [()] * len(schema)
@@ -66,8 +79,9 @@ def stash(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     if few:
         df = df.coalesce(2 * max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark).rstrip('/')}/claimloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # on a local store each such file starts two shells
     _written.append(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,6 +92,7 @@ def discard(spark: SparkSession, *more: str) -> None:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
     _written.clear()
+    trim_driver(spark)
 
 
 def fresh(taken: list[str], *wanted: str) -> list[str]:

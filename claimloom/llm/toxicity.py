@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, give_back, small_batches, table
+from .common import fresh, give_back, small_batches, table, trim_driver
 
 #: Frequent function words that tell the languages apart.
 FUNCTION_WORDS = {
@@ -395,6 +395,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
     read = labelled(docs, labels, s).mapInArrow(rows_of, "d long, y int, lang int, rows binary")
     got = read.repartition(1).mapInArrow(learn, "model binary").collect()  # the network alone
+    trim_driver(docs.sparkSession)
     return pickle.loads(got[0]["model"]) if got else Model(None, np.zeros(len(LANGUAGES) + 1), 0.0)
 
 
