@@ -65,8 +65,9 @@ def source_version_identity(spark, sf_dir):
 
 @query("SELECT page_id, url, host, row_number() OVER (PARTITION BY host ORDER BY url) - 1 AS sequence FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages)")
 def manifest_sequence(spark, sf_dir):
+    """Pages of one url stand in the order of their ids; the SQL leaves that open."""
     rows = _t(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"))
-    return rows.withColumn("sequence", (F.row_number().over(Window.partitionBy("host").orderBy("url")) - 1).cast("long"))
+    return rows.withColumn("sequence", (F.row_number().over(Window.partitionBy("host").orderBy("url", "page_id")) - 1).cast("long"))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1), '[?#].*$', '') END AS path FROM pages""")
