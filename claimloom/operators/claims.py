@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import non_blank
-from .temporal import overlaps
+from .temporal import ends, meet
 
 #: What may become of a claim.
 DISPOSITIONS = (
@@ -41,10 +41,10 @@ def conflicts(proposed: DataFrame, accepted: DataFrame) -> DataFrame:
     Both have claim_id, subject, predicate, object, object_kind and time (a constraint or null).
     The join is by equality on subject and predicate; a skewed pair is split by adaptive execution.
     A claim's own earlier mapping conflicts too."""
-    p, a = proposed.alias("p"), accepted.alias("a")
+    p, a = (rows.withColumn("ends_", ends(F.col("time"))).alias(name) for rows, name in ((proposed, "p"), (accepted, "a")))
     same = (F.col("p.subject") == F.col("a.subject")) & (F.col("p.predicate") == F.col("a.predicate"))
     other = (F.col("p.object") != F.col("a.object")) | (F.col("p.object_kind") != F.col("a.object_kind"))
-    met = p.join(a, same & other & overlaps(F.col("p.time"), F.col("a.time")))
+    met = p.join(a, same & other & meet(F.col("p.ends_"), F.col("a.ends_")))
     return met.select("p.claim_id", F.col("a.claim_id").alias("accepted_claim_id"), "p.subject", "p.predicate", "p.object", F.col("a.object").alias("accepted_object"))
 
 

@@ -82,13 +82,23 @@ def constraint_error(c: Column) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(name)) for bad, name in rules])
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    """Whether two constraints share a moment; open ends reach on, touching ends count where both are inclusive. A null constraint overlaps all."""
+def ends(c: Column) -> Column:
+    """A constraint's bounds as moments, for meet: read from the texts once for each row, where a join compares it with many."""
+    return F.struct(_at(c["lower_bound"]).alias("low"), c["lower_inclusive"].alias("low_in"), _at(c["upper_bound"]).alias("high"), c["upper_inclusive"].alias("high_in"))
+
+
+def meet(a: Column, b: Column) -> Column:
+    """overlaps, of the ends of two constraints."""
     def starts_in_time(x: Column, y: Column) -> Column:
-        low, high = _at(x["lower_bound"]), _at(y["upper_bound"])
-        return low.isNull() | high.isNull() | (low < high) | ((low == high) & x["lower_inclusive"] & y["upper_inclusive"])
+        low, high = x["low"], y["high"]
+        return low.isNull() | high.isNull() | (low < high) | ((low == high) & x["low_in"] & y["high_in"])
 
-    return a.isNull() | b.isNull() | (starts_in_time(a, b) & starts_in_time(b, a))
+    return starts_in_time(a, b) & starts_in_time(b, a)
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    """Whether two constraints share a moment; open ends reach on, touching ends count where both are inclusive. A null constraint overlaps all."""
+    return meet(ends(a), ends(b))
 
 
 def mixed_precision(a: Column, b: Column) -> Column:

@@ -268,9 +268,9 @@ _SPANS_SQL = """e AS (SELECT event_id, user_id, ts::DATE AS day, CASE WHEN event
 WHERE (a.lo IS NULL OR b.hi IS NULL OR a.lo < b.hi OR (a.lo = b.hi AND b.hi_inc)) AND (b.lo IS NULL OR a.hi IS NULL OR b.lo < a.hi OR (b.lo = a.hi AND a.hi_inc))"""
 )
 def interval_overlap(spark, sf_dir):
-    e = _spans(spark, sf_dir)
+    e = _spans(spark, sf_dir).select("event_id", "user_id", temporal.ends(F.col("c")).alias("ends"))
     a, b = e.alias("a"), e.alias("b")
-    near = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.event_id") < F.col("b.event_id")) & temporal.overlaps(F.col("a.c"), F.col("b.c"))
+    near = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.event_id") < F.col("b.event_id")) & temporal.meet(F.col("a.ends"), F.col("b.ends"))
     return a.join(b, near).select(F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"))
 
 

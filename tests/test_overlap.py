@@ -2,6 +2,9 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from claimloom.operators import claims, temporal
 from claimloom.plans.catalog import QUERIES
 
 
@@ -24,3 +27,13 @@ def test_every_overlapping_pair_of_a_user(spark, tmp_path):
     got = sorted(map(tuple, QUERIES["interval_overlap"](spark, str(tmp_path)).collect()))
     want = brute(events)
     assert got == want and len({a % 10 for a, _ in want}) == 10 and len(want) < 3 * 20 * 19 // 2
+
+
+def test_bounds_are_read_once_for_each_row_and_not_for_each_pair(spark, tmp_path):
+    start = datetime(2024, 2, 27)
+    spark.createDataFrame([(i, 1, start, 1.0) for i in range(4)], "event_id long, user_id long, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    claim = spark.createDataFrame([(k, "s", "p", k, "literal") for k in "ab"], "claim_id string, subject string, predicate string, object string, object_kind string")
+    claim = claim.withColumn("time", temporal.during(F.lit("2024-01-01"), F.col("claim_id")))
+    for joined in (QUERIES["interval_overlap"](spark, str(tmp_path)), claims.conflicts(claim, claim)):
+        joins = [x for x in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+        assert len(joins) == 1 and not any(x in joins[0].lower() for x in ("rlike", "regexp", "cast(")), joins
