@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from .lazy import arrow_function
 
 #: White space as Python's regular expressions see it; Java's own class is narrower.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+#: Types whose JSON is the same from Spark and from Python.
+PLAIN = frozenset(("tinyint", "smallint", "int", "bigint", "boolean"))
 
 
 def trimmed(text: Column) -> Column:
@@ -48,6 +51,15 @@ def canonical_json(text):
         return None
 
 
+def canonical_struct(rows: DataFrame, *fields: str) -> Column:
+    """Canonical JSON of an object of fields of rows. Whole numbers and truth values under plain names are written the same by Spark; the rest goes through canonical_json."""
+    kinds = dict(rows.select(*fields).dtypes)
+    names = sorted(fields)
+    plain = len(kinds) == len(names) and all(re.fullmatch(r"[A-Za-z0-9_]+", n) and kinds.get(n) in PLAIN for n in names)
+    text = F.to_json(F.struct(*[F.col(n) for n in (names if plain else fields)]), {"ignoreNullFields": "false"})
+    return text if plain else canonical_json(text)
+
+
 @arrow_function("string")
 def compact_json(text):
     """As canonical_json, keys left in their order."""

@@ -4,10 +4,12 @@ Records are JSON texts in canonical form; an identity is the hash of a record's
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_json, exact_keys
+from ..functions.text import canonical_json, canonical_struct, exact_keys
 from ..sources import artefacts, reasoning
 
 #: The fields of a completed result, by the stage that it completes.
@@ -17,16 +19,16 @@ COMPLETED = {
 }
 
 
-def identity(record: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(artefacts.envelope(record), 256))
+def identity(record: Column, canonical: bool = False) -> Column:
+    """canonical: record is canonical JSON already. Each canonical_json over another one holds one more Python worker in every running task."""
+    return F.concat(F.lit("sha256:"), F.sha2((artefacts.sealed if canonical else artefacts.envelope)(record), 256))
 
 
 def create(rows: DataFrame, stage: str, *fields: str) -> DataFrame:
     """rows with payload (the canonical input made of fields), request and request_id."""
-    payload = canonical_json(F.to_json(F.struct(*[F.col(f) for f in fields]), {"ignoreNullFields": "false"}))
-    out = rows.withColumn("payload", payload)
-    out = out.withColumn("request", canonical_json(F.concat(F.lit(f'{{"stage":"{stage}","input":'), F.col("payload"), F.lit("}"))))
-    return out.withColumn("request_id", identity(F.col("request")))
+    out = rows.withColumn("payload", canonical_struct(rows, *fields))
+    out = out.withColumn("request", F.concat(F.lit('{"input":'), F.col("payload"), F.lit(f',"stage":{json.dumps(stage, ensure_ascii=False)}}}')))
+    return out.withColumn("request_id", identity(F.col("request"), canonical=True))
 
 
 def resolve(requests: DataFrame, recorded: DataFrame, stage: str) -> DataFrame:
@@ -34,7 +36,7 @@ def resolve(requests: DataFrame, recorded: DataFrame, stage: str) -> DataFrame:
     out = reasoning.replay(requests, recorded, stage)
     body = F.concat(F.lit('{"output":'), F.coalesce("output", F.lit("null")), F.lit(',"request":"'), F.col("request_id"), F.lit('"}'))
     out = out.withColumn("result", canonical_json(body))
-    return out.withColumn("result_id", identity(F.col("result")))
+    return out.withColumn("result_id", identity(F.col("result"), canonical=True))
 
 
 def replay(requests: DataFrame, results: DataFrame) -> DataFrame:

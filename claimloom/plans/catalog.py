@@ -686,7 +686,7 @@ def request_replay(spark, sf_dir):
     k = F.col("doc_id") % 4
     rows = requests.create(_t(spark, sf_dir, "labels").select("doc_id", "toxic"), "temporal-resolution", "doc_id")
     body = F.concat(F.lit('{"output":{"toxic":'), F.col("toxic").cast("string"), F.lit('},"request":"'), F.col("request_id"), F.lit('"}'))
-    results = rows.where(k != 1).select(body.alias("result"), F.when(k == 2, "sha256:x").otherwise(requests.identity(body)).alias("result_id"))
+    results = rows.where(k != 1).select(body.alias("result"), F.when(k == 2, "sha256:x").otherwise(requests.identity(body, canonical=True)).alias("result_id"))
     changed = rows.withColumn("request", F.when(k == 0, F.lit("{}")).otherwise(F.col("request")))
     return requests.replay(changed, results).select("doc_id", "diagnostic", "output")
 

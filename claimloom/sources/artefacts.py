@@ -20,6 +20,11 @@ def envelope(payload: Column) -> Column:
     return canonical_json(F.concat(F.lit('{"payload":'), payload, F.lit(f',"schema_version":"{SCHEMA_VERSION}"}}')))
 
 
+def sealed(payload: Column) -> Column:
+    """envelope of a payload that is canonical JSON already, or null: no Python is asked."""
+    return F.concat(F.lit('{"payload":'), payload, F.lit(f',"schema_version":"{SCHEMA_VERSION}"}}'))
+
+
 def named(rows: DataFrame, kind: str, payload: str) -> DataFrame:
     """Rows of the store for a column of JSON payloads, one for each content."""
     body = canonical_json(F.col(payload))
